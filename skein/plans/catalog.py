@@ -1,11 +1,157 @@
-"""The engine's own queries by name, and their SQL."""
+"""The engine's own queries by name, over whole tables, and their SQL."""
 
-FLAGSHIP = "aggregate_revenue"
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import ids, text, vectors
+from skein.operators import changes, updates
+from skein.operators.collection import Collection
+
+FLAGSHIP = "aggregate_purchases"
+#: The fixed query vector of the vector searches.
+QUERY = [round(((k * 37) % 64 - 31.5) / 32, 5) for k in range(64)]
+_Q = f"[{', '.join(f'{x}::DOUBLE' for x in QUERY)}]"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumnRenamed(key, "_id") if key else df
+
+
+def _find(name: str, key: str, where: dict, fields: list[str]):
+    return lambda s, d: Collection(table(s, d, name, key)).find(where).select("_id", *fields)
+
+
+def _aggregate(name: str, key: str, stages: list):
+    return lambda s, d: Collection(table(s, d, name, key)).aggregate(stages)
+
+
+def _nearest(metric: str, where: dict | None = None, k: int = 10):
+    def run(s, d):
+        c = Collection(table(s, d, "embeddings", "vec_id"))
+        c.create_vector_index("embedding", 64, metric)
+        return c.find_nearest("embedding", QUERY, k, where).select("_id", F.round("_score", 6).alias("score"))
+
+    return run
+
+
+def _events_with_props(s, d):
+    return table(s, d, "events", "event_id").withColumn("props", F.from_json("props", "k bigint"))
+
+
+def _changes(s, d, lag: int):
+    o = table(s, d, "orders", "o_orderkey")
+    stamp = (F.col("_id") % 1000 + lag * (F.col("_id") % 3)).cast("long")
+    op = F.when(F.col("_id") % 7 == lag, "delete").otherwise("upsert")
+    doc = F.when(op == "upsert", F.concat(F.lit(f"{lag}:"), F.col("o_orderstatus")))
+    return o.select(F.lit("orders").alias("collection"), F.col("_id").cast("string").alias("_id"), op.alias("op"), stamp.alias("changed_at"), doc.alias("doc"))
+
+
+def _sql_changes(lag: int) -> str:
+    return f"SELECT 'orders' AS collection, CAST(o_orderkey AS VARCHAR) AS _id, CASE WHEN o_orderkey % 7 = {lag} THEN 'delete' ELSE 'upsert' END AS op, CAST(o_orderkey % 1000 + {lag} * (o_orderkey % 3) AS BIGINT) AS changed_at, CASE WHEN o_orderkey % 7 <> {lag} THEN '{lag}:' || o_orderstatus END AS doc FROM orders"
+
+
+def _validated(s, d):
+    c = table(s, d, "customer", "c_custkey").withColumn("_v", (F.col("_id") % 3).cast("int")).withColumn("nick", F.when(F.col("_id") % 5 != 0, F.col("c_name")))
+    out = changes.validated(c, 1, required=["name"], types={"c_acctbal": "float"}, defaults={"tier": "basic"}, renames={"nick": "name"})
+    return out.select("_id", "_v", "name", "tier", "decision", "reason")
+
+
+def _upsert(s, d):
+    old = table(s, d, "supplier", "s_suppkey").withColumn("_remote_rev", F.col("_id") % 4)
+    new = old.where("_id % 2 = 0").withColumn("s_acctbal", F.lit(0.0)).withColumn("_remote_rev", F.col("_id") % 5)
+    return updates.upserted(old, new.unionByName(new.withColumn("_id", F.col("_id") + 1_000_000)), revision="_remote_rev")
+
+
+_Q_MATCH = {"event_type": "purchase", "value": {"$gte": 10}}
+_SPEC = {
+    # name: (query, SQL)
+    "aggregate_purchases": (
+        _aggregate("events", "event_id", [{"$match": _Q_MATCH}, {"$group": {"_id": "$user_id", "total": {"$sum": "$value"}, "n": {"$sum": 1}}}, {"$sort": {"n": -1}}, {"$limit": 10}, {"$project": {"_id": 1, "n": 1}}]),
+        "SELECT user_id AS _id, count(*) AS n FROM events WHERE event_type = 'purchase' AND value >= 10 GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
+    ),
+    "find_full_scan": (_find("region", "r_regionkey", {}, ["r_name"]), "SELECT r_regionkey AS _id, r_name FROM region"),
+    "find_by_id": (_find("orders", "o_orderkey", {"_id": {"$in": [1, 5, 7, 99]}}, ["o_totalprice"]), "SELECT o_orderkey AS _id, o_totalprice FROM orders WHERE o_orderkey IN (1, 5, 7, 99)"),
+    "find_eq": (_find("orders", "o_orderkey", {"o_orderstatus": "F"}, ["o_orderstatus"]), "SELECT o_orderkey AS _id, o_orderstatus FROM orders WHERE o_orderstatus = 'F'"),
+    "find_strict_type": (_find("orders", "o_orderkey", {"$or": [{"o_custkey": "42"}, {"o_orderstatus": 1}]}, []), "SELECT o_orderkey AS _id FROM orders WHERE 1 = 0"),
+    "find_ne_missing": (lambda s, d: Collection(table(s, d, "documents", "doc_id").join(table(s, d, "labels", "doc_id"), "_id", "left")).find({"toxic": {"$ne": 1}}).select("_id"), "SELECT d.doc_id AS _id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NULL OR l.toxic <> 1"),
+    "find_not_gt_missing": (lambda s, d: Collection(table(s, d, "documents", "doc_id").join(table(s, d, "labels", "doc_id"), "_id", "left")).find({"$not": {"quality": {"$gt": 0}}}).select("_id"), "SELECT d.doc_id AS _id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL OR l.quality <= 0"),
+    "find_range_two_sided": (_find("events", "event_id", {"value": {"$gte": 10, "$lt": 20}}, ["value"]), "SELECT event_id AS _id, value FROM events WHERE value >= 10 AND value < 20"),
+    "find_in": (_find("part", "p_partkey", {"p_size": {"$in": [1, 5, 9]}}, ["p_size"]), "SELECT p_partkey AS _id, p_size FROM part WHERE p_size IN (1, 5, 9)"),
+    "find_nin": (_find("part", "p_partkey", {"p_size": {"$nin": [1, 5, 9]}}, ["p_size"]), "SELECT p_partkey AS _id, p_size FROM part WHERE p_size NOT IN (1, 5, 9)"),
+    "find_or": (_find("customer", "c_custkey", {"$or": [{"c_mktsegment": "BUILDING"}, {"c_acctbal": {"$lt": 0}}]}, ["c_acctbal"]), "SELECT c_custkey AS _id, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal < 0"),
+    "find_compound_eq": (_find("lineitem", "l_orderkey", {"l_returnflag": "R", "l_linestatus": "F", "l_linenumber": 1}, ["l_quantity"]), "SELECT l_orderkey AS _id, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber = 1"),
+    "find_exists": (lambda s, d: Collection(table(s, d, "documents", "doc_id").join(table(s, d, "labels", "doc_id"), "_id", "left")).find({"toxic": {"$exists": True}}).select("_id"), "SELECT doc_id AS _id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic IS NOT NULL)"),
+    "find_regex": (_find("pages", "page_id", {"url": {"$regex": "[0-9]+5$|a/"}}, ["url"]), "SELECT page_id AS _id, url FROM pages WHERE regexp_matches(url, '[0-9]+5$|a/')"),
+    "find_nested": (lambda s, d: Collection(_events_with_props(s, d)).find({"props.k": {"$gte": 50}}).select("_id", F.col("props.k").alias("k")), "SELECT event_id AS _id, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE CAST(props->>'$.k' AS BIGINT) >= 50"),
+    "find_contains": (_find("documents", "doc_id", {"text": {"$contains": "The with"}}, ["lang"]), "SELECT doc_id AS _id, lang FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])the($|[^\\p{L}\\p{N}])') AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])with($|[^\\p{L}\\p{N}])')"),
+    "fts_postings": (lambda s, d: text.search_postings(text.postings(table(s, d, "documents", "doc_id"), "text"), "the with"), "SELECT doc_id AS _id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])the($|[^\\p{L}\\p{N}])') AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])with($|[^\\p{L}\\p{N}])')"),
+    "find_options": (lambda s, d: Collection(table(s, d, "orders", "o_orderkey")).find({"o_orderstatus": "O"}, sort={"o_orderpriority": -1}, skip=5, limit=20, fields=["o_orderpriority"]), "SELECT o_orderkey AS _id, o_orderpriority FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderpriority DESC, o_orderkey LIMIT 20 OFFSET 5"),
+    "find_one": (lambda s, d: Collection(table(s, d, "orders", "o_orderkey")).find_one({"o_orderstatus": "F"}).select("_id"), "SELECT min(o_orderkey) AS _id FROM orders WHERE o_orderstatus = 'F'"),
+    "count": (_aggregate("events", "event_id", [{"$match": {"event_type": "view"}}, {"$group": {"_id": None, "n": {"$count": {}}}}, {"$project": {"_id": 0, "n": 1}}]), "SELECT count(*) AS n FROM events WHERE event_type = 'view'"),
+    "group_all_accumulators": (
+        _aggregate("lineitem", "l_orderkey", [{"$group": {"_id": "$l_returnflag", "n": {"$count": {}}, "lines": {"$sum": "$l_linenumber"}, "quantity": {"$sum": "$l_quantity"}, "low": {"$min": "$l_discount"}, "high": {"$max": "$l_tax"}, "set": {"$addToSet": "$l_linenumber"}}}]),
+        "SELECT l_returnflag AS _id, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines, sum(l_quantity) AS quantity, min(l_discount) AS low, max(l_tax) AS high, list_sort(list(DISTINCT l_linenumber)) AS set FROM lineitem GROUP BY 1",
+    ),
+    "group_average": (lambda s, d: Collection(table(s, d, "lineitem", "l_orderkey")).aggregate([{"$group": {"_id": "$l_linestatus", "a": {"$avg": "$l_extendedprice"}}}]).select("_id", F.round("a", 4).alias("a")), "SELECT l_linestatus AS _id, round(avg(l_extendedprice), 4) AS a FROM lineitem GROUP BY 1"),
+    "group_ordered": (
+        _aggregate("conversations", "turn", [{"$sort": {"conv_id": 1}}, {"$group": {"_id": "$conv_id", "roles": {"$push": "$role"}, "first": {"$first": "$role"}, "last": {"$last": "$role"}}}]),
+        "SELECT conv_id AS _id, list(role ORDER BY turn) AS roles, first(role ORDER BY turn) AS first, last(role ORDER BY turn) AS last FROM conversations GROUP BY 1",
+    ),
+    "group_having": (_aggregate("orders", "o_orderkey", [{"$group": {"_id": "$o_custkey", "n": {"$sum": 1}}}, {"$match": {"n": {"$gte": 12}}}]), "SELECT o_custkey AS _id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 12"),
+    "group_missing_key": (lambda s, d: Collection(table(s, d, "documents", "doc_id").join(table(s, d, "labels", "doc_id"), "_id", "left")).aggregate([{"$group": {"_id": "$quality", "n": {"$sum": 1}}}]), "SELECT l.quality AS _id, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"),
+    "group_empty": (_aggregate("orders", "o_orderkey", [{"$match": {"o_orderstatus": "none"}}, {"$group": {"_id": None, "n": {"$sum": 1}}}, {"$project": {"n": 1, "_id": 0}}]), "SELECT count(*) AS n FROM orders WHERE 1 = 0 GROUP BY o_orderkey"),
+    "project_exclude": (_aggregate("nation", "n_nationkey", [{"$project": {"n_regionkey": 0}}]), "SELECT n_nationkey AS _id, n_name FROM nation"),
+    "sort_skip_limit": (_aggregate("part", "p_partkey", [{"$sort": {"p_size": -1, "p_brand": 1}}, {"$skip": 10}, {"$limit": 25}, {"$project": {"p_size": 1, "p_brand": 1}}]), "SELECT p_partkey AS _id, p_size, p_brand FROM part ORDER BY p_size DESC, p_brand, p_partkey LIMIT 25 OFFSET 10"),
+    "nearest_cosine": (_nearest("cosine"), f"SELECT vec_id AS _id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}) DESC, vec_id LIMIT 10"),
+    "nearest_dot": (_nearest("dot"), f"SELECT vec_id AS _id, round(list_inner_product(CAST(embedding AS DOUBLE[]), {_Q}), 6) AS score FROM embeddings ORDER BY list_inner_product(CAST(embedding AS DOUBLE[]), {_Q}) DESC, vec_id LIMIT 10"),
+    "nearest_euclidean": (_nearest("euclidean"), f"SELECT vec_id AS _id, round(1 / (1 + list_distance(CAST(embedding AS DOUBLE[]), {_Q})), 6) AS score FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), {_Q}), vec_id LIMIT 10"),
+    "nearest_hybrid": (_nearest("cosine", {"label": {"$lt": 3}}), f"SELECT vec_id AS _id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}), 6) AS score FROM embeddings WHERE label < 3 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}) DESC, vec_id LIMIT 10"),
+    "update_many": (
+        lambda s, d: updates.updated(table(s, d, "part", "p_partkey"), {"p_size": {"$gt": 40}}, {"$set": {"p_brand": "big"}, "$inc": {"p_size": 1}, "$unset": {"p_type": 1}}).select("_id", "p_brand", F.col("p_size").cast("int").alias("p_size"), "p_type"),
+        "SELECT p_partkey AS _id, CASE WHEN p_size > 40 THEN 'big' ELSE p_brand END AS p_brand, CAST(CASE WHEN p_size > 40 THEN p_size + 1 ELSE p_size END AS INT) AS p_size, CASE WHEN p_size > 40 THEN NULL ELSE p_type END AS p_type FROM part",
+    ),
+    "update_lists": (
+        lambda s, d: updates.updated(table(s, d, "part", "p_partkey").select("_id", F.split("p_name", " ").alias("tags")), {"_id": {"$lte": 500}}, {"$push": {"tags": "new"}, "$pull": {"tags": "blue"}}),
+        "SELECT p_partkey AS _id, CASE WHEN p_partkey <= 500 THEN list_filter(list_append(string_split(p_name, ' '), 'new'), lambda x: x <> 'blue') ELSE string_split(p_name, ' ') END AS tags FROM part",
+    ),
+    "delete_many": (lambda s, d: updates.deleted(table(s, d, "orders", "o_orderkey"), {"o_orderstatus": "F"}).select("_id"), "SELECT o_orderkey AS _id FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus <> 'F'"),
+    "tombstones": (lambda s, d: updates.compacted(updates.tombstones(table(s, d, "orders", "o_orderkey"), {"o_orderstatus": "F"}, "orders", F.col("_id") % 100), 50), "SELECT 'orders' AS collection, o_orderkey AS _id, o_orderkey % 100 AS deleted_at FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 100 >= 50"),
+    "replace_many_with_ids": (
+        _upsert,
+        "WITH o AS (SELECT s_suppkey AS _id, s_name, s_nationkey, s_acctbal, s_suppkey % 4 AS _remote_rev FROM supplier), n AS (SELECT s_suppkey AS _id, s_name, s_nationkey, 0.0 AS s_acctbal, s_suppkey % 5 AS _remote_rev FROM supplier WHERE s_suppkey % 2 = 0), "
+        "a AS (SELECT * FROM n UNION ALL SELECT _id + 1000000, s_name, s_nationkey, s_acctbal, _remote_rev FROM n) SELECT coalesce(o._id, a._id) AS _id, coalesce(o.s_name, a.s_name) AS s_name, coalesce(o.s_nationkey, a.s_nationkey) AS s_nationkey, "
+        "CASE WHEN o._id IS NULL OR a._remote_rev > o._remote_rev THEN a.s_acctbal ELSE o.s_acctbal END AS s_acctbal, CASE WHEN o._id IS NULL OR a._remote_rev > o._remote_rev THEN a._remote_rev ELSE o._remote_rev END AS _remote_rev FROM o FULL JOIN a ON o._id = a._id",
+    ),
+    "change_feed": (
+        lambda s, d: updates.changes_between(table(s, d, "nation", "n_nationkey").where("_id > 2"), updates.updated(table(s, d, "nation", "n_nationkey").where("_id < 20"), {"n_regionkey": 1}, {"$set": {"n_name": "x"}})),
+        "SELECT n_nationkey AS _id, CASE WHEN n_nationkey <= 2 THEN 'insert' WHEN n_nationkey >= 20 THEN 'delete' ELSE 'update' END AS op, CASE WHEN n_nationkey > 2 AND n_nationkey < 20 THEN ['n_name'] END AS changed FROM nation WHERE n_nationkey <= 2 OR n_nationkey >= 20 OR n_regionkey = 1",
+    ),
+    "merge_lww": (
+        lambda s, d: changes.merged(_changes(s, d, 1), _changes(s, d, 2)),
+        f"SELECT collection, _id, op, changed_at, doc FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY changed_at DESC, op = 'delete' DESC, coalesce(doc, '') DESC) AS r FROM ({_sql_changes(1)} UNION ALL {_sql_changes(2)})) WHERE r = 1",
+    ),
+    "merge_fields": (
+        lambda s, d: changes.merged_fields(*[table(s, d, "events", "event_id").where(f"_id % 2 = {k}").select(F.lit("e").alias("collection"), F.col("user_id").cast("string").alias("_id"), F.col("event_type").alias("field"), F.col("value").cast("string").alias("value"), F.col("_id").alias("ts"), F.lit(f"n{k}").alias("node")) for k in (0, 1)]),
+        "SELECT 'e' AS collection, CAST(user_id AS VARCHAR) AS _id, event_type AS field, CAST(arg_max(value, event_id) AS VARCHAR) AS value, max(event_id) AS ts, 'n' || (max(event_id) % 2) AS node FROM events GROUP BY user_id, event_type",
+    ),
+    "validate_import": (
+        _validated,
+        "WITH c AS (SELECT c_custkey AS _id, CAST(c_custkey % 3 AS INT) AS v, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS nick FROM customer), x AS (SELECT _id, v, CASE WHEN v < 1 THEN nick END AS name FROM c) SELECT _id, CASE WHEN v < 1 THEN 1 ELSE v END AS _v, name, CASE WHEN v < 1 THEN 'basic' END AS tier, "
+        "CASE WHEN v <= 1 AND name IS NULL THEN 'quarantine' WHEN v < 1 THEN 'coerce' ELSE 'accept' END AS decision, CASE WHEN v <= 1 AND name IS NULL THEN 'name: required' END AS reason FROM x",
+    ),
+    "newest_cohort": (lambda s, d: changes.newest_cohort(_changes(s, d, 1).withColumn("scope", F.col("changed_at") % 5), ["scope"]).select("scope", "_id", "changed_at"), f"SELECT changed_at % 5 AS scope, _id, changed_at FROM (SELECT *, rank() OVER (PARTITION BY changed_at % 5 ORDER BY changed_at DESC) AS r FROM ({_sql_changes(1)})) WHERE r = 1"),
+    "derive_ids": (lambda s, d: table(s, d, "nation").select("n_nationkey", ids.derive("nation", F.col("n_nationkey")).alias("_id")), None),
+    "encrypt_fields": (
+        lambda s, d: table(s, d, "customer").select("c_custkey", F.aes_decrypt(F.aes_encrypt(F.col("c_name").cast("binary"), F.lit("0123456789abcdef"), F.lit("GCM")), F.lit("0123456789abcdef"), F.lit("GCM")).cast("string").alias("c_name")),
+        "SELECT c_custkey, c_name FROM customer",
+    ),
+}
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _SPEC.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _SPEC.items() if sql}
