@@ -126,7 +126,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     pieces = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / BLOCK), F.floor((F.col("b") - 1) / BLOCK))))
     words = F.least("b", (F.col("rank") + 1) * BLOCK) - F.greatest("a", F.col("rank") * BLOCK)
     pieces = pieces.select("src", "rank", "start", words.alias("words"))
-    taken = pieces.join(schedule(spark, goal, slots).select("src", "rank"), ["src", "rank"]).groupBy("src", "start").agg(F.sum("words").cast("long").alias("taken"))
+    # Spark takes the schedule for as small as its list of pieces and would broadcast it; it grows with the words.
+    slot = schedule(spark, goal, slots).select("src", "rank").hint("merge")
+    taken = pieces.join(slot, ["src", "rank"]).groupBy("src", "start").agg(F.sum("words").cast("long").alias("taken"))
     # Rows without words have no place of their own.
     full = rows.where("size > 0").join(taken, ["src", "start"], "left")
     none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
