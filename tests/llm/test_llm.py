@@ -95,7 +95,9 @@ def test_quality(docs, rows):
         lines = [x for x in t.split("\n") if WORD.search(x)]
         want.append(repr((r[0], len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(under), len(w) < 20 or 100 * len(under) > 30 * len(w))))
     assert got == sorted(want)
-    assert quality.keep_good(docs).columns == docs.columns
+    good = Counter(r["doc_id"] for r in quality.quality(docs).collect() if r["kept"])
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == good
 
 
 def test_em_tells_bad_from_good():
