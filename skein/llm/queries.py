@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, embed, langid, minhash, mixing, quality, toxicity, warc
+from skein.llm import bpe, embed, langid, licenses, lm, minhash, mixing, quality, toxicity, warc
 
 #: Where the tokenizer's vocabulary is; see tokenizer_path().
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -51,7 +59,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_minhash, op3_language, op4_toxicity, op5_quality, op8_warc, op9_bpe, op10_embeddings)}
+    return {f.__name__: f for f in (op1_mixing, op2_minhash, op3_language, op4_toxicity, op5_quality, op6_licenses, op7_lm, op8_warc, op9_bpe, op10_embeddings)}
 
 
 #: Brute force over all pairs; the operators find these pairs without meeting all.

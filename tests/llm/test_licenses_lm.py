@@ -1,0 +1,128 @@
+"""License scans and language-model scores, with odd rows."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from skein.llm import licenses, lm
+from skein.llm.common import Scratch
+
+KIND = "doc_id long, text string, score double, licenses string"
+
+
+def invented(rng, n):
+    return " ".join("".join(rng.choice("abcdehilnorst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def test_every_template_is_found_once_where_it_stands(spark):
+    rng, rows, want = random.Random(3), [], {}
+    for k, (name, text) in enumerate(licenses.TEMPLATES * 4):
+        before = invented(rng, rng.choice((0, 5, 300, 900))) + rng.choice(" \n")
+        rows.append((k, before + text + rng.choice(" \n") + invented(rng, rng.choice((0, 200, 900))), None, None))
+        want[k] = (name, len(before), len(before) + len(text))
+    for r in licenses.scan(spark.createDataFrame(rows, KIND)).collect():
+        name, start, end = want[r.doc_id]
+        assert r.licenses == [name], r
+        (n,) = r.notices
+        assert start == n.start and end - 4 <= n.end <= end, (r, want[r.doc_id])
+        assert not n.missing and not n.changed and n.coverage == 1
+
+
+def test_wording_differences_and_what_only_speaks_of_licenses(spark):
+    apache, mit = licenses.TEMPLATES[4][1], licenses.TEMPLATES[2][1]
+    texts = [
+        apache.replace("may not use", "shall not use"),
+        "Licensed under the Apache License, Version 1.1.",
+        "My driving licence and my fishing license are in the public domain of my wallet.",
+        "RELEASED   under the\n MIT license!",
+        mit + "\n\n" + apache,
+        "Copyright 2020\n" * 3000 + "Licensed under CC BY-NC 4.0.",
+        "license" * 5000,
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(k, t, 1.0, "x") for k, t in enumerate(texts)], KIND)).collect()}
+    assert got[0].licenses == ["Apache-2.0"] and got[0].notices[0].missing == ["may"] and got[0].notices[0].changed == ["shall"]
+    assert not got[1].notices and not got[2].notices and got[2].n_blocks == 1
+    assert got[3].licenses == ["MIT"]
+    assert got[4].licenses == ["Apache-2.0", "MIT"] and len(got[4].notices) == 2
+    assert got[5].licenses == ["CC-BY-NC-4.0"] and not got[6].notices
+
+
+def test_licenses_of_odd_rows(spark):
+    line = "Released under the MIT License."
+    rows = [(None, line, None, None), (1, None, None, None), (2, "", 1.0, None), (3, line, None, "a"), (3, line, None, "a")]
+    got = licenses.scan(spark.createDataFrame(rows, KIND)).collect()
+    assert sorted((r.doc_id or 0, r.n_blocks, tuple(r.licenses)) for r in got) == [(0, 1, ("MIT",)), (1, 0, ()), (2, 0, ()), (3, 1, ("MIT",)), (3, 1, ("MIT",))]
+    assert licenses.scan(spark.createDataFrame([], KIND)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(5)
+    common = [invented(rng, 1) for _ in range(30)]
+    texts = []
+    for _ in range(300):  # each word sets the next one's kind: what stands around a word tells much of it
+        k, words = rng.randrange(30), []
+        for _ in range(rng.randint(20, 200)):
+            words.append(common[k])
+            k = (k * 7 + rng.randrange(3)) % 30
+        texts.append(" ".join(words))
+    texts += [texts[0]] * 20 + ["", None, " \n\t", "日本語 ünï", "y" * 5000, "z " * 30000]
+    return spark.createDataFrame([(k, t, 1.0, "x") for k, t in enumerate(texts)] + [(None, texts[1], None, None), (0, texts[0], None, None)], KIND)
+
+
+def test_scores_are_the_networks_probabilities(spark, docs):
+    base = docs.selectExpr("doc_id", "text")
+    scratch = Scratch(spark)
+    words, pieces, counts = lm.vocabulary_of(base, scratch)
+    net = lm.Net(lm.Net.start(counts))
+    vocabulary = lm.Vocabulary(words, pieces)
+    got = lm.score(docs, rounds=0).collect()
+    assert len(got) == docs.count()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        ids = vocabulary.ids(texts[r.doc_id] or "")
+        assert r.n_tokens == len(ids)
+        if r.n_tokens > 3000:
+            continue
+        padded, total = np.array([0] * lm.SPAN + ids + [0] * lm.SPAN), 0.0
+        for k, token in enumerate(ids):  # token by token, over all outcomes
+            around = np.array([[padded[k + lm.SPAN + j] for j in lm.OFFSETS]])
+            each = [net.forward(around, np.array([h])) for h in range(lm.SIDE)]
+            p = np.concatenate([each[h][1][0, h] * each[h][2][0] for h in range(lm.SIDE)]) if k < 3 else None
+            assert p is None or abs(p.sum() - 1) < 1e-4
+            _, p, q = each[token // lm.SIDE]
+            total += math.log(p[0, token // lm.SIDE]) + math.log(q[0, token % lm.SIDE])
+            if k == 40:
+                break
+        part = net.log_probs(padded, np.arange(min(len(ids), 41)) + lm.SPAN).sum()
+        assert abs(part - total) < 1e-2 * max(1, abs(total))
+        assert (r.mean_log_prob is None) == (not ids)
+        if len(ids) and len(ids) <= 41:
+            assert abs(r.log_prob - total) < 1e-2 * max(1, abs(total))
+
+
+def test_counts_cover_all_texts(spark, docs):
+    words, pieces, counts = lm.vocabulary_of(docs.selectExpr("doc_id", "text"), Scratch(spark))
+    vocabulary = lm.Vocabulary(words, pieces)
+    want = np.zeros(lm.SIZE)
+    for r in docs.collect():
+        np.add.at(want, np.array(vocabulary.ids(r.text or ""), int), 1)
+    assert (counts == want).all()
+
+
+def test_training_helps_and_reruns_agree(spark, docs):
+    def mean(rounds):
+        rows = [r for r in lm.score(docs, stride=2, rounds=rounds).collect() if r.doc_id is not None and r.doc_id < 300]
+        return sum(r.log_prob for r in rows) / sum(r.n_tokens for r in rows)
+
+    before, after = mean(0), mean(2)
+    assert after > before + 0.5, (before, after)
+    assert mean(2) == pytest.approx(after, abs=1e-9)
+
+
+def test_no_rows_at_all(spark):
+    assert lm.score(spark.createDataFrame([], KIND)).count() == 0
+    got = lm.score(spark.createDataFrame([(1, None, None, None), (2, "", None, None)], KIND)).collect()
+    assert all(r.n_tokens == 0 and r.log_prob == 0 and r.mean_log_prob is None for r in got) and len(got) == 2
