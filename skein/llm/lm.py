@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -25,25 +26,26 @@ NUMBERS = sum(int(np.prod(x)) for x in SHAPES.values())
 
 
 class Vocabulary(dict):
-    """Words to token ids: a known word is one token, another as many as it has pieces of two characters."""
+    """Words to token ids, two bytes each: a known word is one token, another as many as it has pieces of two characters."""
 
     def __init__(self, words: list[str], pieces: list[str]):
-        self.known = {w: (FIRST + k,) for k, w in enumerate(words)}
+        self.known = {w: coded([FIRST + k]) for k, w in enumerate(words)}
         self.pieces = {p: FIRST + len(words) + k for k, p in enumerate(pieces)}
         super().__init__(self.known)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > 300_000:  # a cache of bounded size
             self.clear()
             self.update(self.known)
-        self[word] = ids = self.known.get(word) or tuple(self.pieces.get(word[k : k + 2], UNKNOWN) for k in range(0, len(word), 2))
+        self[word] = ids = self.known.get(word) or coded([self.pieces.get(word[k : k + 2], UNKNOWN) for k in range(0, len(word), 2)])
         return ids
 
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for w in WORD.findall(text.lower()):
-            out += self[w]
-        return out
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, WORD.findall(text.lower())))
+
+
+def coded(ids: list[int]) -> bytes:
+    return array("h", ids).tobytes()
 
 
 class Net:
@@ -67,68 +69,74 @@ class Net:
             parts.append(fixed[name] if name in fixed else rng.normal(0, 0.1, shape))
         return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
-    def forward(self, around: np.ndarray, high: np.ndarray):
-        """(hidden, p of all high halves, p of all low halves given `high`) for rows of 2 * SPAN tokens."""
-        h = self.near[0][around[:, 0]]
+    def forward(self, around: list[np.ndarray], high: np.ndarray):
+        """(hidden, logits of all high halves, logits of all low halves given `high`) for windows of 2 * SPAN tokens; bounds spare a maximum for each row."""
+        h = self.near[0].take(around[0], 0)
         for j in range(1, 2 * SPAN):
-            h += self.near[j][around[:, j]]
+            h += self.near[j].take(around[j], 0)
         h += self.bias
         np.maximum(h, 0, out=h)
-        return h, normed(h @ self.high + self.high0), normed(h @ self.low + self.low0[high])
+        y, z = h @ self.high, self.low0.take(high, 0)
+        y += self.high0
+        z += h @ self.low
+        return h, y.clip(-30, 30, out=y), z.clip(-30, 30, out=z)
 
     def log_probs(self, padded: np.ndarray, places: np.ndarray) -> np.ndarray:
         """log p(padded[place] | both sides) for each place."""
         out = np.empty(len(places), np.float64)
-        for k in range(0, len(places), 4096):
-            at = places[k : k + 4096]
+        for k in range(0, len(places), 2048):
+            at = places[k : k + 2048]
             target = padded[at]
             high, low = target // SIDE, target % SIDE
-            _, p, q = self.forward(padded[at[:, None] + OFFSETS], high)
+            _, y, z = self.forward([padded[at + o] for o in OFFSETS], high)
             rows = np.arange(len(at))
-            out[k : k + 4096] = np.log(np.maximum(p[rows, high], 1e-12)) + np.log(np.maximum(q[rows, low], 1e-12))
+            picked = y[rows, high] + z[rows, low]
+            out[k : k + 2048] = picked - np.log((np.exp(y, out=y) @ ONES) * (np.exp(z, out=z) @ ONES))[:, 0]
         return out
 
     def learn(self, padded: np.ndarray, places: np.ndarray, sums: dict, rate: float = 0.08, batch: int = 256) -> None:
         """One pass of Adagrad over the windows around `places`."""
         for k in range(0, len(places), batch):
             at = places[k : k + batch]
-            target, around, rows = padded[at], padded[at[:, None] + OFFSETS], np.arange(len(at))
+            target, around, rows = padded[at], [padded[at + o] for o in OFFSETS], np.arange(len(at))
             high, low = target // SIDE, target % SIDE
-            h, p, q = self.forward(around, high)
+            h, y, z = self.forward(around, high)
+            p, q = normed(y), normed(z)
             p[rows, high] -= 1
             q[rows, low] -= 1
             p /= len(at)
             q /= len(at)
             back = (p @ self.high.T + q @ self.low.T) * (h > 0)
-            of_high, which = np.unique(high, return_inverse=True)
-            self.step("low0", (of_high,), summed(q, which, len(of_high)), sums, rate)
+            of_high, g = summed(high, q)
+            self.step("low0", (of_high,), g, sums, rate)
             for name, g in (("high", h.T @ p), ("low", h.T @ q), ("high0", p.sum(0)), ("bias", back.sum(0))):
                 self.step(name, (slice(None),), g, sums, rate)
             for j in range(2 * SPAN):
-                seen, which = np.unique(around[:, j], return_inverse=True)
-                self.step("near", (j, seen), summed(back, which, len(seen)), sums, rate)
+                seen, g = summed(around[j], back)
+                self.step("near", (j, seen), g, sums, rate)
 
     def step(self, name: str, at: tuple, g: np.ndarray, sums: dict, rate: float) -> None:
-        sums[name][at] += g * g
-        getattr(self, name)[at] -= rate * g / np.sqrt(sums[name][at])
+        total = sums[name][at] + g * g
+        sums[name][at] = total
+        getattr(self, name)[at] -= rate * g / np.sqrt(total)
 
 
 ONES = np.ones((SIDE, 1), np.float32)
-OFFSETS = np.array([*range(-SPAN, 0), *range(1, SPAN + 1)])
+OFFSETS = [*range(-SPAN, 0), *range(1, SPAN + 1)]
 
 
 def normed(z: np.ndarray) -> np.ndarray:
-    """Softmax; bounds on the logits spare a maximum for each row."""
-    np.clip(z, -30, 30, out=z)
     np.exp(z, out=z)
     z /= z @ ONES
     return z
 
 
-def summed(rows: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows that go to each of n places."""
-    order = np.argsort(which, kind="stable")
-    return np.add.reduceat(rows[order], np.searchsorted(which[order], np.arange(n)), axis=0)
+def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, for each the sum of its rows)."""
+    order = np.argsort(ids.astype(np.int16), kind="stable")  # a radix sort
+    ids = ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[starts], np.add.reduceat(rows[order], starts, axis=0)
 
 
 def tokenized(docs: DataFrame, words: list[str], pieces: list[str]) -> DataFrame:
@@ -137,7 +145,7 @@ def tokenized(docs: DataFrame, words: list[str], pieces: list[str]) -> DataFrame
     def run(batches):
         vocabulary = Vocabulary(words, pieces)
         for part in text_slices(batches):
-            ids = [np.array(vocabulary.ids(t), np.int16).tobytes() if t else b"" for t in part.column(1).to_pylist()]
+            ids = [vocabulary.ids(t) if t else b"" for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, ids binary")

@@ -82,17 +82,17 @@ def test_scores_are_the_networks_probabilities(spark, docs):
     assert len(got) == docs.count()
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in got:
-        ids = vocabulary.ids(texts[r.doc_id] or "")
+        ids = np.frombuffer(vocabulary.ids(texts[r.doc_id] or ""), np.int16).tolist()
         assert r.n_tokens == len(ids)
         if r.n_tokens > 3000:
             continue
         padded, total = np.array([0] * lm.SPAN + ids + [0] * lm.SPAN), 0.0
         for k, token in enumerate(ids):  # token by token, over all outcomes
-            around = np.array([[padded[k + lm.SPAN + j] for j in lm.OFFSETS]])
-            each = [net.forward(around, np.array([h])) for h in range(lm.SIDE)]
-            p = np.concatenate([each[h][1][0, h] * each[h][2][0] for h in range(lm.SIDE)]) if k < 3 else None
+            around = [padded[[k + lm.SPAN + j]] for j in lm.OFFSETS]
+            each = [[lm.normed(x) for x in net.forward(around, np.array([h]))[1:]] for h in range(lm.SIDE)]
+            p = np.concatenate([each[h][0][0, h] * each[h][1][0] for h in range(lm.SIDE)]) if k < 3 else None
             assert p is None or abs(p.sum() - 1) < 1e-4
-            _, p, q = each[token // lm.SIDE]
+            p, q = each[token // lm.SIDE]
             total += math.log(p[0, token // lm.SIDE]) + math.log(q[0, token % lm.SIDE])
             if k == 40:
                 break
@@ -108,7 +108,7 @@ def test_counts_cover_all_texts(spark, docs):
     vocabulary = lm.Vocabulary(words, pieces)
     want = np.zeros(lm.SIZE)
     for r in docs.collect():
-        np.add.at(want, np.array(vocabulary.ids(r.text or ""), int), 1)
+        np.add.at(want, np.frombuffer(vocabulary.ids(r.text or ""), np.int16), 1)
     assert (counts == want).all()
 
 
