@@ -1,6 +1,7 @@
 """Toxicity by a weighted finite-state grammar over clauses."""
 
 import re
+from hashlib import blake2b
 from math import exp, log, log1p
 
 import ahocorasick
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import crc_mod, split_of, text_slices
+from skein.llm.common import Scratch, crc_mod, split_of, text_slices
 
 # The grammar's own words. The insults are where learning starts; labels add others.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown fool dumb imbecile jerk bastard filth vermin garbage".split()
@@ -19,6 +20,7 @@ NEGATIONS = "not no never neither nor without isn't aren't wasn't don't hardly".
 REPORTS = "said says wrote claimed called quoted reported alleged according".split()
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+TERM = re.compile(r"[^\W_]+")
 BREAK = re.compile(r"[.!?;\n]")
 #: Log-weight of an insult or threat that nothing is known of; its changes by what stands around it.
 PLAIN, NEGATED, REPORTED, AIMED = 2.0, -1.5, -1.0, 0.7
@@ -120,21 +122,36 @@ class Scorer:
 STEM = 5
 
 
+def items_of(train: DataFrame) -> DataFrame:
+    """(toxic, kind, item) for each distinct word and stem of the texts of train(text, toxic); kind is the least hash of a text's words."""
+
+    def run(batches):
+        for part in text_slices(batches):
+            toxic, kinds, items = [], [], []
+            for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                words = set(TERM.findall((text or "").lower()))
+                if words:
+                    kind = min(blake2b(w.encode(), digest_size=8).digest() for w in words)
+                    mine = words | {w[:STEM] + "*" for w in words if len(w) > STEM}
+                    toxic += [label] * len(mine)
+                    kinds += [int.from_bytes(kind, "big", signed=True)] * len(mine)
+                    items += mine
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(kinds, pa.int64()), pa.array(items, pa.string())], ["toxic", "kind", "item"])
+
+    return train.select("toxic", "text").mapInArrow(run, "toxic int, kind long, item string").distinct()
+
+
 def lexicon_of(train: DataFrame, least: int = 5, lift: float = 8.0, most: int = 3000) -> dict[str, float]:
     """Words and stems that toxic documents have and others don't, with their log-lift, from train(text, toxic).
 
     A word counts once for each kind of document, told by its least word hash, so copies of one document don't make its words toxic.
     Words must be in `least` kinds of toxic documents and in 1 of 60; the `most` commonest are kept. A stem stays if two such words have it.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    stems = F.transform(F.filter("w", lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
-    kind = F.array_min(F.transform("w", lambda w: F.xxhash64(w)))
-    d = train.select("toxic", words.alias("w")).select("toxic", kind.alias("kind"), F.array_distinct(F.concat("w", stems)).alias("items"))
-    totals = {r["toxic"]: r["n"] for r in d.groupBy("toxic").agg(F.count_distinct("kind").alias("n")).collect()}
+    each = Scratch(train.sparkSession).save(items_of(train), "items")
+    totals = {r["toxic"]: r["n"] for r in each.select("toxic", "kind").distinct().groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return {}
-    each = d.select("toxic", "kind", F.explode("items").alias("item")).distinct()
     counts = each.groupBy("item").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     found = counts.where(F.col("bad") >= max(least, bad / 60)).withColumn("weight", weight).where(F.col("weight") > log(lift)).where(F.length("item") >= 3)
