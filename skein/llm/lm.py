@@ -96,29 +96,25 @@ class Net:
 
     def learn(self, padded: np.ndarray, places: np.ndarray, sums: dict, rate: float = 0.08, batch: int = 256) -> None:
         """One pass of Adagrad over the windows around `places`."""
+        near, of_near = self.near.reshape(-1, HIDDEN), sums["near"].reshape(-1, HIDDEN)
+        around_at, table = np.array(OFFSETS)[:, None], SIZE * np.arange(2 * SPAN)[:, None]
         for k in range(0, len(places), batch):
             at = places[k : k + batch]
-            target, around, rows = padded[at], [padded[at + o] for o in OFFSETS], np.arange(len(at))
-            high, low = target // SIDE, target % SIDE
+            n, target, around = len(at), padded[at], padded[at + around_at]
+            rows, high = np.arange(n), target // SIDE
             h, y, z = self.forward(around, high)
             p, q = normed(y), normed(z)
             p[rows, high] -= 1
-            q[rows, low] -= 1
-            p /= len(at)
-            q /= len(at)
-            back = (p @ self.high.T + q @ self.low.T) * (h > 0)
-            of_high, g = summed(high, q)
-            self.step("low0", (of_high,), g, sums, rate)
+            q[rows, target - high * SIDE] -= 1
+            p /= n
+            q /= n
+            back = p @ self.high.T
+            back += q @ self.low.T
+            back *= h > 0
+            step(self.low0, sums["low0"], *summed(high, q), rate)
             for name, g in (("high", h.T @ p), ("low", h.T @ q), ("high0", p.sum(0)), ("bias", back.sum(0))):
-                self.step(name, (slice(None),), g, sums, rate)
-            for j in range(2 * SPAN):
-                seen, g = summed(around[j], back)
-                self.step("near", (j, seen), g, sums, rate)
-
-    def step(self, name: str, at: tuple, g: np.ndarray, sums: dict, rate: float) -> None:
-        total = sums[name][at] + g * g
-        sums[name][at] = total
-        getattr(self, name)[at] -= rate * g / np.sqrt(total)
+                step(getattr(self, name), sums[name], slice(None), g, rate)
+            step(near, of_near, *summed((around + table).ravel(), back), rate)
 
 
 ONES = np.ones((SIDE, 1), np.float32)
@@ -131,12 +127,21 @@ def normed(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def step(numbers: np.ndarray, sums: np.ndarray, at, g: np.ndarray, rate: float) -> None:
+    """Adagrad on numbers[at]; g is used up."""
+    total = sums[at] + g * g
+    sums[at] = total
+    g *= rate
+    g /= np.sqrt(total)
+    numbers[at] -= g
+
+
 def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct ids, for each the sum of its rows)."""
+    """(distinct ids, for each the sum of its rows); with more ids than rows, rows are gone through again and again."""
     order = np.argsort(ids.astype(np.int16), kind="stable")  # a radix sort
     ids = ids[order]
     starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return ids[starts], np.add.reduceat(rows[order], starts, axis=0)
+    return ids[starts], np.add.reduceat(rows.take(order % len(rows), 0), starts, axis=0)
 
 
 def tokenized(docs: DataFrame, words: list[str], pieces: list[str]) -> DataFrame:
@@ -199,10 +204,10 @@ def vocabulary_of(docs: DataFrame, scratch: Scratch) -> tuple[list[str], list[st
     return words, pieces, n
 
 
-def averaged(tokens: DataFrame, params: np.ndarray, stride: int) -> np.ndarray:
-    """The parameters after one round: each task trains on its own rows, then models are averaged by their windows.
+def averaged(tokens: DataFrame, params: np.ndarray, stride: int, turn: int) -> np.ndarray:
+    """The parameters after round `turn`: each task trains on its own rows, then models are averaged by their windows.
 
-    A text's windows are every stride-th token, from a place that their hash sets. Models leave their tasks in chunks, which other tasks add up one
+    A text's windows are every stride-th token, from a place that their hash sets and that moves on by one each round. Models leave their tasks in chunks, which other tasks add up one
     row at a time; the driver gets one sum for each chunk and salt.
     """
 
@@ -210,7 +215,7 @@ def averaged(tokens: DataFrame, params: np.ndarray, stride: int) -> np.ndarray:
         net, seen, shard = Net(params.copy()), 0, 0
         sums = {name: np.full(shape, 1e-3, np.float32) for name, shape in SHAPES.items()}
         for part, padded, places, sizes in tokens_of(batches):
-            first = np.array([zlib.crc32(x) % stride for x in part.column(0).to_pylist()], np.int64)
+            first = np.array([(zlib.crc32(x) + turn) % stride for x in part.column(0).to_pylist()], np.int64)
             inside = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             mine = places[inside % stride == np.repeat(first, sizes)]
             shard = zlib.crc32(padded.tobytes(), shard)
@@ -243,22 +248,22 @@ def averaged(tokens: DataFrame, params: np.ndarray, stride: int) -> np.ndarray:
     return (params + change / max(windows, 1)).astype(np.float32)
 
 
-def trained(docs: DataFrame, scratch: Scratch, stride: int = 8, rounds: int = 2) -> tuple[DataFrame, np.ndarray]:
+def trained(docs: DataFrame, scratch: Scratch, stride: int = 2, rounds: int = 2) -> tuple[DataFrame, np.ndarray]:
     """(tokens of each text, parameters) from all texts of docs(doc_id, text). Tokens are written once, for all rounds and the scoring."""
     words, pieces, counts = vocabulary_of(docs, scratch)
     tokens = scratch.save(tokenized(docs, words, pieces), "tokens")
     params = Net.start(counts)
-    for _ in range(rounds):
-        params = averaged(tokens, params, stride)
+    for turn in range(rounds):
+        params = averaged(tokens, params, stride, turn)
     return tokens, params
 
 
-def score(docs: DataFrame, stride: int = 8, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, stride: int = 2, rounds: int = 2) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) for each row of docs(doc_id, text), by a network trained on docs itself.
 
     log_prob: the sum over all tokens of the text of their log-probabilities given SPAN tokens on each side. Tokens are the commonest words of all
-    texts in lower case and, for other words, pieces of two characters; words over 32 characters are cut into several. Training takes every
-    stride-th token of every text, in `rounds` rounds.
+    texts in lower case and, for other words, pieces of two characters; words over 32 characters are cut into several. Each round
+    trains on every stride-th token of every text, on other ones than the round before: with as many rounds as `stride`, on each token once.
     Defined cases: a null or empty text has no tokens, log_prob 0 and a null mean_log_prob; repeated rows get the same score
     each and count each in training; an empty table gives no rows; a null doc_id stays null; other columns are not looked at.
     """

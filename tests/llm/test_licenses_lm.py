@@ -122,6 +122,18 @@ def test_training_helps_and_reruns_agree(spark, docs):
     assert mean(2) == pytest.approx(after, abs=1e-9)
 
 
+def test_training_takes_every_token(spark):
+    pairs = [(f"left{k}", f"right{k}") for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(pairs)], "doc_id long, text string")
+    words, pieces, counts = lm.vocabulary_of(docs, Scratch(spark))
+    start, end = lm.Net(lm.Net.start(counts)), lm.Net(lm.trained(docs, Scratch(spark))[1])
+    moved = (start.near != end.near).any(2)
+    ids = {w: lm.FIRST + k for k, w in enumerate(words)}
+    for a, b in pairs:  # what stands beside a token moves only if that token is trained on
+        assert moved[lm.OFFSETS.index(-1), ids[a]], f"{b} was never a target"
+        assert moved[lm.OFFSETS.index(1), ids[b]], f"{a} was never a target"
+
+
 def test_no_rows_at_all(spark):
     assert lm.score(spark.createDataFrame([], KIND)).count() == 0
     got = lm.score(spark.createDataFrame([(1, None, None, None), (2, "", None, None)], KIND)).collect()
