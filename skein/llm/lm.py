@@ -1,5 +1,6 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained and run in numpy, predicts every token from both sides."""
 
+import math
 import re
 import zlib
 from array import array
@@ -12,48 +13,93 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import Scratch, ragged, text_slices, utf8
 
-#: Tokens on each side, hidden units, tokens of the vocabulary: SIDE of them for each of the two steps of a prediction.
+#: Tokens on each side, hidden units, tokens of the smallest vocabulary: SIDE of them for each of the two steps of a prediction.
 SPAN, HIDDEN, SIDE = 2, 24, 32
 SIZE = SIDE * SIDE
-#: Token 0 stands outside a text, token 1 for a piece that the vocabulary lacks.
+#: Token 0 stands outside a text, token 1 for a piece that the vocabulary lacks, which is then spelled in bytes.
 OUTSIDE, UNKNOWN, FIRST = 0, 1, 2
-WHOLE = 600  # of the vocabulary, how many are words; pieces of two characters follow
+WHOLE = 600  # of SIZE tokens, how many are words; pieces of two characters follow
+END = 256  # stands before and after a spelled piece's bytes
 WORD = re.compile(r"[^\x20\x09-\x0D]{1,32}")
 #: Numbers of a model that travel together while shards are summed.
 CHUNK = 2048
-SHAPES = {"near": (2 * SPAN, SIZE, HIDDEN), "bias": (HIDDEN,), "high": (HIDDEN, SIDE), "low": (HIDDEN, SIDE), "high0": (SIDE,), "low0": (SIDE, SIDE)}
-NUMBERS = sum(int(np.prod(x)) for x in SHAPES.values())
+
+
+def side_of(words: float) -> int:
+    """SIDE for so many words of text: the vocabulary grows with their square root."""
+    return max(SIDE, round(words**0.25 / 2))
+
+
+def shapes(side: int) -> dict:
+    return {"near": (2 * SPAN, side * side, HIDDEN), "bias": (HIDDEN,), "high": (HIDDEN, side), "low": (HIDDEN, side), "high0": (side,), "low0": (side, side)}
 
 
 class Vocabulary(dict):
-    """Words to token ids, two bytes each: a known word is one token, another as many as it has pieces of two characters."""
+    """Words to token ids: a known word is one token, another as many as it has pieces of two characters.
+
+    `spelling` has log p(next byte | byte), END around each piece that the vocabulary lacks.
+    """
 
-    def __init__(self, words: list[str], pieces: list[str]):
-        self.known = {w: coded([FIRST + k]) for k, w in enumerate(words)}
+    def __init__(self, words: list[str], pieces: list[str], spelling: np.ndarray | None = None, kind: str = "h"):
+        self.kind = kind
+        self.known = {w: coded([FIRST + k], self.kind) for k, w in enumerate(words)}
         self.pieces = {p: FIRST + len(words) + k for k, p in enumerate(pieces)}
+        self.spelling, self.spelled, self.costs = spelling, {}, {}
         super().__init__(self.known)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > 300_000:  # a cache of bounded size
             self.clear()
             self.update(self.known)
-        self[word] = ids = self.known.get(word) or coded([self.pieces.get(word[k : k + 2], UNKNOWN) for k in range(0, len(word), 2)])
+            self.spelled.clear()
+            self.costs.clear()
+        cut = [word[k : k + 2] for k in range(0, len(word), 2)]
+        self[word] = ids = coded([self.pieces.get(p, UNKNOWN) for p in cut], self.kind)
+        if self.spelling is not None and (lacking := [p for p in cut if p not in self.pieces]):
+            self.spelled[word] = self.spell(lacking)
         return ids
 
+    def spell(self, pieces: list[str]) -> float:
+        """log p(the pieces | each is UNKNOWN)."""
+        for p in pieces:
+            if p not in self.costs:
+                self.costs[p] = float(self.spelling[steps(p)].sum())
+        return sum(map(self.costs.__getitem__, pieces))
+
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, WORD.findall(text.lower())))
 
+    def ids_and_spelling(self, text: str) -> tuple[bytes, float]:
+        """(ids, log p of the bytes of all pieces that are UNKNOWN)."""
+        ids, total = [], 0.0
+        for word in WORD.findall(text.lower()):
+            ids.append(self[word])
+            total += self.spelled.get(word, 0.0)
+        return b"".join(ids), total
+
+
+def steps(piece: str) -> tuple[list[int], list[int]]:
+    """(bytes, the bytes after them) of a piece between two ENDs."""
+    raw = list(piece.encode("utf-8", "surrogatepass"))
+    return [END, *raw], [*raw, END]
+
 
-def coded(ids: list[int]) -> bytes:
-    return array("h", ids).tobytes()
+def kind_of(size: int) -> str:
+    """The array's code of ids below `size`: two bytes each, or four."""
+    return "h" if size <= 1 << 15 else "i"
+
+
+def coded(ids: list[int], kind: str) -> bytes:
+    return array(kind, ids).tobytes()
 
 
 class Net:
     """Embeddings for each place around a token, a ramp, then p(high half of its id) * p(low half | high half)."""
 
     def __init__(self, params: np.ndarray):
-        at = 0
-        for name, shape in SHAPES.items():
+        at, self.side = 0, next(k for k in range(SIDE, len(params)) if numbers(k) >= len(params))
+        self.size = self.side * self.side
+        for name, shape in shapes(self.side).items():
             n = int(np.prod(shape))
             setattr(self, name, params[at : at + n].reshape(shape))
             at += n
@@ -61,11 +107,12 @@ class Net:
     @staticmethod
     def start(counts: np.ndarray, seed: int = 7) -> np.ndarray:
         """Parameters before training; with the biases, predictions are the tokens' shares of the corpus."""
-        share = np.log((counts + 1.0) / (counts + 1.0).sum()).reshape(SIDE, SIDE)
+        side = math.isqrt(len(counts))
+        share = np.log((counts + 1.0) / (counts + 1.0).sum()).reshape(side, side)
         high = np.log(np.exp(share).sum(1))
         fixed = {"high0": high, "low0": share - high[:, None], "bias": np.full(HIDDEN, 0.1)}
         rng, parts = np.random.default_rng(seed), []
-        for name, shape in SHAPES.items():
+        for name, shape in shapes(side).items():
             parts.append(fixed[name] if name in fixed else rng.normal(0, 0.1, shape))
         return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
@@ -83,29 +130,29 @@ class Net:
 
     def log_probs(self, padded: np.ndarray, places: np.ndarray) -> np.ndarray:
         """log p(padded[place] | both sides) for each place."""
-        out = np.empty(len(places), np.float64)
+        out, ones = np.empty(len(places), np.float64), np.ones((self.side, 1), np.float32)
         for k in range(0, len(places), 2048):
             at = places[k : k + 2048]
             target = padded[at]
-            high, low = target // SIDE, target % SIDE
+            high, low = target // self.side, target % self.side
             _, y, z = self.forward([padded[at + o] for o in OFFSETS], high)
             rows = np.arange(len(at))
             picked = y[rows, high] + z[rows, low]
-            out[k : k + 2048] = picked - np.log((np.exp(y, out=y) @ ONES) * (np.exp(z, out=z) @ ONES))[:, 0]
+            out[k : k + 2048] = picked - np.log((np.exp(y, out=y) @ ones) * (np.exp(z, out=z) @ ones))[:, 0]
         return out
 
     def learn(self, padded: np.ndarray, places: np.ndarray, sums: dict, rate: float = 0.08, batch: int = 256) -> None:
         """One pass of Adagrad over the windows around `places`."""
         near, of_near = self.near.reshape(-1, HIDDEN), sums["near"].reshape(-1, HIDDEN)
-        around_at, table = np.array(OFFSETS)[:, None], SIZE * np.arange(2 * SPAN)[:, None]
+        around_at, table = np.array(OFFSETS)[:, None], self.size * np.arange(2 * SPAN)[:, None]
         for k in range(0, len(places), batch):
             at = places[k : k + batch]
             n, target, around = len(at), padded[at], padded[at + around_at]
-            rows, high = np.arange(n), target // SIDE
+            rows, high = np.arange(n), target // self.side
             h, y, z = self.forward(around, high)
             p, q = normed(y), normed(z)
             p[rows, high] -= 1
-            q[rows, target - high * SIDE] -= 1
+            q[rows, target - high * self.side] -= 1
             p /= n
             q /= n
             back = p @ self.high.T
@@ -117,13 +164,16 @@ class Net:
             step(near, of_near, *summed((around + table).ravel(), back), rate)
 
 
-ONES = np.ones((SIDE, 1), np.float32)
 OFFSETS = [*range(-SPAN, 0), *range(1, SPAN + 1)]
 
 
+def numbers(side: int) -> int:
+    return sum(math.prod(x) for x in shapes(side).values())
+
+
 def normed(z: np.ndarray) -> np.ndarray:
     np.exp(z, out=z)
-    z /= z @ ONES
+    z /= z @ np.ones((z.shape[1], 1), np.float32)
     return z
 
 
@@ -138,33 +188,33 @@ def step(numbers: np.ndarray, sums: np.ndarray, at, g: np.ndarray, rate: float)
 
 def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct ids, for each the sum of its rows); with more ids than rows, rows are gone through again and again."""
-    order = np.argsort(ids.astype(np.int16), kind="stable")  # a radix sort
+    order = np.argsort(ids.astype(np.int16) if ids.max() < 1 << 15 else ids, kind="stable")  # a radix sort where ids are short
     ids = ids[order]
     starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     return ids[starts], np.add.reduceat(rows.take(order % len(rows), 0), starts, axis=0)
 
 
-def tokenized(docs: DataFrame, words: list[str], pieces: list[str]) -> DataFrame:
-    """(doc_id, ids): the tokens of each text, two bytes each."""
+def tokenized(docs: DataFrame, words: list[str], pieces: list[str], spelling: np.ndarray, kind: str) -> DataFrame:
+    """(doc_id, ids, spelled): the tokens of each text, and the log-probability of its pieces without an id, given that they have none."""
 
     def run(batches):
-        vocabulary = Vocabulary(words, pieces)
+        vocabulary = Vocabulary(words, pieces, spelling, kind)
         for part in text_slices(batches):
-            ids = [vocabulary.ids(t) if t else b"" for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            both = [vocabulary.ids_and_spelling(t) if t else (b"", 0.0) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in both], pa.binary()), pa.array([x for _, x in both], pa.float64())], ["doc_id", "ids", "spelled"])
 
-    return docs.mapInArrow(run, "doc_id long, ids binary")
+    return docs.mapInArrow(run, "doc_id long, ids binary, spelled double")
 
 
-def tokens_of(batches):
+def tokens_of(batches, kind: str):
     """(slice, tokens of its texts with SPAN tokens OUTSIDE around each, places of the tokens in them, tokens of each text)."""
     for part in text_slices(batches, "ids"):
         data, at = utf8(part.column(part.schema.get_field_index("ids")))
-        sizes = np.diff(at) // 2
+        sizes = np.diff(at) // array(kind).itemsize
         starts = np.cumsum(sizes + 2 * SPAN) - sizes - SPAN
         padded = np.full(int(sizes.sum()) + 2 * SPAN * len(sizes), OUTSIDE, np.int64)
         places = ragged(starts, sizes)
-        padded[places] = np.frombuffer(data.tobytes(), np.int16)
+        padded[places] = np.frombuffer(data.tobytes(), kind)
         yield part, padded, places, sizes
 
 
@@ -187,23 +237,44 @@ def word_counts(docs: DataFrame, most: int = 100_000) -> DataFrame:
 def vocabulary_of(docs: DataFrame, scratch: Scratch) -> tuple[list[str], list[str], np.ndarray]:
     """(words, pieces, how often each token comes): the commonest words of all texts, and the commonest pieces of all other words."""
     counts = scratch.save(word_counts(docs), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(WHOLE).collect()
+    side = side_of(counts.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    whole = WHOLE * side * side // SIZE
+    top = counts.orderBy(F.desc("n"), "word").limit(whole).collect()
     words = [r["word"] for r in top]
-    known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in words], "word string"))  # WHOLE rows at most
+    known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in words], "word string"))  # `whole` rows at most
     rest = counts.join(known, "word", "left_anti")
     starts = F.sequence(F.lit(1), F.length("word"), F.lit(2))
     cut = rest.select("n", F.explode(F.transform(starts, lambda k: F.substring(F.col("word"), k, F.lit(2)))).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
     cut = scratch.save(cut, "pieces")
-    commonest = cut.orderBy(F.desc("n"), "piece").limit(SIZE - FIRST - WHOLE).collect()
+    commonest = cut.orderBy(F.desc("n"), "piece").limit(side * side - FIRST - whole).collect()
     pieces = [r["piece"] for r in commonest]
     unknown = (cut.agg(F.sum("n").alias("n")).first()["n"] or 0) - sum(r["n"] for r in commonest)
-    n = np.zeros(SIZE)
+    n = np.zeros(side * side)
     n[UNKNOWN] = unknown
     n[FIRST : FIRST + len(words)] = [r["n"] for r in top]
     n[FIRST + len(words) : FIRST + len(words) + len(pieces)] = [r["n"] for r in commonest]
     return words, pieces, n
 
 
+def spelling_of(scratch: Scratch, pieces: list[str]) -> np.ndarray:
+    """log p(next byte | byte) in the pieces of vocabulary_of's table that aren't among `pieces`; END stands around each. Every step has been counted once more than it comes."""
+
+    def run(batches):
+        counts = np.zeros((END + 1, END + 1), np.int64)
+        for b in batches:
+            for n, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                np.add.at(counts, steps(piece), n)
+        a, b = counts.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[a, b])], ["a", "b", "n"])
+
+    known = F.broadcast(scratch.spark.createDataFrame([(p,) for p in pieces], "piece string"))  # of the vocabulary's size at most
+    rest = scratch.spark.read.schema("piece string, n long").parquet(f"{scratch.root}/pieces").join(known, "piece", "left_anti")
+    counts = np.ones((END + 1, END + 1))
+    for r in rest.select("n", "piece").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # 257 * 257 rows at most
+        counts[r["a"], r["b"]] += r["n"]
+    return np.log(counts / counts.sum(1, keepdims=True))
+
+
 def averaged(tokens: DataFrame, params: np.ndarray, stride: int, turn: int) -> np.ndarray:
     """The parameters after round `turn`: each task trains on its own rows, then models are averaged by their windows.
 
@@ -213,8 +284,8 @@ def averaged(tokens: DataFrame, params: np.ndarray, stride: int, turn: int) -> n
 
     def run(batches):
         net, seen, shard = Net(params.copy()), 0, 0
-        sums = {name: np.full(shape, 1e-3, np.float32) for name, shape in SHAPES.items()}
-        for part, padded, places, sizes in tokens_of(batches):
+        sums = {name: np.full(shape, 1e-3, np.float32) for name, shape in shapes(net.side).items()}
+        for part, padded, places, sizes in tokens_of(batches, kind_of(net.size)):
             first = np.array([(zlib.crc32(x) + turn) % stride for x in part.column(0).to_pylist()], np.int64)
             inside = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             mine = places[inside % stride == np.repeat(first, sizes)]
@@ -223,8 +294,8 @@ def averaged(tokens: DataFrame, params: np.ndarray, stride: int, turn: int) -> n
             net.learn(padded, mine, sums)
             seen += len(mine)
         if seen:
-            flat = np.concatenate([getattr(net, name).ravel() for name in SHAPES]) - params
-            parts = [(flat[k : k + CHUNK].astype(np.float64) * seen).tobytes() for k in range(0, NUMBERS, CHUNK)]
+            flat = np.concatenate([getattr(net, name).ravel() for name in shapes(net.side)]) - params
+            parts = [(flat[k : k + CHUNK].astype(np.float64) * seen).tobytes() for k in range(0, len(params), CHUNK)]
             n = len(parts)
             yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([shard] * n, pa.int64()), pa.array([seen] * n, pa.int64()), pa.array(parts, pa.binary())], ["chunk", "shard", "seen", "part"])
 
@@ -240,7 +311,7 @@ def averaged(tokens: DataFrame, params: np.ndarray, stride: int, turn: int) -> n
     schema = "chunk int, shard long, seen long, part binary"
     models = tokens.select("ids").mapInArrow(run, schema)
     sums = models.repartition("chunk", F.pmod("shard", F.lit(16))).sortWithinPartitions("chunk", "shard", "seen").mapInArrow(add, schema)
-    change, windows = np.zeros(NUMBERS), 0
+    change, windows = np.zeros(len(params)), 0
     for row in sorted(sums.collect(), key=lambda x: (x["chunk"], x["seen"], bytes(x["part"]))):  # at most 16 for each chunk: one model's numbers 16 times
         one = np.frombuffer(row["part"])
         change[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(one)] += one
@@ -251,7 +322,7 @@ def averaged(tokens: DataFrame, params: np.ndarray, stride: int, turn: int) -> n
 def trained(docs: DataFrame, scratch: Scratch, stride: int = 2, rounds: int = 2) -> tuple[DataFrame, np.ndarray]:
     """(tokens of each text, parameters) from all texts of docs(doc_id, text). Tokens are written once, for all rounds and the scoring."""
     words, pieces, counts = vocabulary_of(docs, scratch)
-    tokens = scratch.save(tokenized(docs, words, pieces), "tokens")
+    tokens = scratch.save(tokenized(docs, words, pieces, spelling_of(scratch, pieces), kind_of(len(counts))), "tokens")
     params = Net.start(counts)
     for turn in range(rounds):
         params = averaged(tokens, params, stride, turn)
@@ -262,7 +333,8 @@ def score(docs: DataFrame, stride: int = 2, rounds: int = 2) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) for each row of docs(doc_id, text), by a network trained on docs itself.
 
     log_prob: the sum over all tokens of the text of their log-probabilities given SPAN tokens on each side. Tokens are the commonest words of all
-    texts in lower case and, for other words, pieces of two characters; words over 32 characters are cut into several. Each round
+    texts in lower case and, for other words, pieces of two characters; words over 32 characters are cut into several. The vocabulary has SIZE
+    tokens or more, as the square root of the corpus's words; a piece without an id counts as p(UNKNOWN | both sides) * p(its bytes | UNKNOWN). Each round
     trains on every stride-th token of every text, on other ones than the round before: with as many rounds as `stride`, on each token once.
     Defined cases: a null or empty text has no tokens, log_prob 0 and a null mean_log_prob; repeated rows get the same score
     each and count each in training; an empty table gives no rows; a null doc_id stays null; other columns are not looked at.
@@ -272,10 +344,10 @@ def score(docs: DataFrame, stride: int = 2, rounds: int = 2) -> DataFrame:
 
     def run(batches):
         net = Net(params)
-        for part, padded, places, sizes in tokens_of(batches):
+        for part, padded, places, sizes in tokens_of(batches, kind_of(net.size)):
             total = np.concatenate([[0.0], np.cumsum(net.log_probs(padded, places))])
             ends = np.cumsum(sizes)
-            logs = total[ends] - total[ends - sizes]
+            logs = total[ends] - total[ends - sizes] + part.column(2).to_numpy()
             mean = pa.array(logs / np.maximum(sizes, 1), pa.float64(), mask=sizes == 0)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(logs), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 

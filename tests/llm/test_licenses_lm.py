@@ -134,6 +134,41 @@ def test_training_takes_every_token(spark):
         assert moved[lm.OFFSETS.index(1), ids[b]], f"{a} was never a target"
 
 
+def test_texts_without_ids_are_spelled(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(50)) for _ in range(200)]
+    odd = ["дорога", "сапоги", "日本語文字列"]  # of three pieces each, none of which comes often enough for an id
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts * 2, *odd])], "doc_id long, text string")
+    scratch = Scratch(spark)
+    words, pieces, counts = lm.vocabulary_of(docs, scratch)
+    spelling = lm.spelling_of(scratch, pieces)
+    assert np.allclose(np.exp(spelling).sum(1), 1)
+    vocabulary, net = lm.Vocabulary(words, pieces, spelling), lm.Net(lm.Net.start(counts))
+    got = {r.doc_id: r for r in lm.score(docs, rounds=0).collect()}
+    scores = [got[len(texts) * 2 + k].log_prob for k in range(3)]
+    assert len(set(scores)) == 3
+    for text, score in zip(odd, scores):
+        ids = np.frombuffer(vocabulary.ids(text), np.int16)
+        assert (ids == lm.UNKNOWN).all() and len(ids) == 3
+        padded = np.array([0, 0, *ids, 0, 0])
+        want = net.log_probs(padded, np.arange(3) + lm.SPAN).sum() + vocabulary.spell([text[k : k + 2] for k in range(0, 6, 2)])
+        assert score == pytest.approx(want, rel=1e-5)
+
+
+def test_vocabulary_grows(spark, docs, monkeypatch):
+    assert lm.side_of(1e6) == lm.SIDE and lm.side_of(16e8) == 2 * lm.side_of(1e8)
+    few = docs.where("doc_id < 40")
+    for side in (40, 184):  # two bytes an id, and four
+        monkeypatch.setattr(lm, "side_of", lambda words, side=side: side)
+        tokens, params = lm.trained(few.selectExpr("doc_id", "text"), Scratch(spark))
+        net, ids = lm.Net(params), lm.kind_of(side * side)
+        assert net.side == side and {np.frombuffer(r.ids, ids).max() < side * side for r in tokens.collect() if r.ids} == {True}
+        padded = np.array([0, 0, 5, 0, 0])
+        p = np.concatenate([lm.normed(net.forward(padded[[0, 1, 3, 4], None], np.array([h]))[1])[0, h] * lm.normed(net.forward(padded[[0, 1, 3, 4], None], np.array([h]))[2])[0] for h in range(side)])
+        assert abs(p.sum() - 1) < 1e-3 and abs(math.log(p[5]) - net.log_probs(padded, np.array([2]))[0]) < 1e-3
+
+
 def test_no_rows_at_all(spark):
     assert lm.score(spark.createDataFrame([], KIND)).count() == 0
     got = lm.score(spark.createDataFrame([(1, None, None, None), (2, "", None, None)], KIND)).collect()
