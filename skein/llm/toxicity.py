@@ -15,6 +15,8 @@ from skein.llm.common import Scratch, crc_mod, split_of, text_slices
 # The grammar's own words. The insults are where learning starts; labels add others.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown fool dumb imbecile jerk bastard filth vermin garbage".split()
 THREATS = "kill hurt destroy beat shoot stab burn hang strangle crush".split()
+#: Whom a threat or insult before them may be aimed at; they are targets, too.
+OBJECTS = "you your yours yourself yourselves her herself him himself his them themselves their those everyone".split()
 TARGETS = "you your yours he she they him her them his their this these those it everyone".split()
 NEGATIONS = "not no never neither nor without isn't aren't wasn't don't hardly".split()
 REPORTS = "said says wrote claimed called quoted reported alleged according".split()
@@ -52,31 +54,41 @@ def composed(first: Transducer, second: Transducer, symbols: str) -> Transducer:
 
 
 def countdown(opens: str, most: int, on: dict[str, tuple[str, float]]) -> Transducer:
-    """After the symbol `opens`, up to `most` symbols further on, rewrite and weigh the symbols of `on`."""
-    arcs = {(state, opens): (opens, 0.0, most) for state in range(most + 1)}
+    """After a symbol of `opens`, up to `most` symbols further on, rewrite and weigh the symbols of `on`."""
+    arcs = {(state, s): (s, 0.0, most) for state in range(most + 1) for s in opens}
     for state in range(1, most + 1):
         arcs |= {(state, s): (out, w, state - 1) for s, (out, w) in on.items()}
     return Transducer(arcs, {state: state - 1 for state in range(1, most + 1)})
 
 
-def grammar() -> Transducer:
-    """Symbols: N negation, R reported speech, T target, I insult, H threat, W any other word; J and Q are weakened insults, P and p such threats.
+def completed(most: int) -> Transducer:
+    """An object up to `most` symbols after a threat or insult that nothing before it aims carries the weight of aiming the last such one."""
+    arcs = {}
+    for state in range(2 * most + 1):  # 1 to `most` wait after a threat, those above after an insult
+        arcs |= {(state, "H"): ("H", 0.0, most), (state, "I"): ("I", 0.0, state - 1 if 1 < state <= most else 2 * most)}
+        if state:
+            arcs[state, "O"] = ("O", PLAIN + AIMED if state <= most else AIMED, 0)
+    return Transducer(arcs, {state: 0 if state == most + 1 else state - 1 for state in range(1, 2 * most + 1)})
+
+
+def grammar(ahead: int = 0) -> Transducer:
+    """Symbols: N negation, R reported speech, T target, O target that may be an object, K and L aimed threats and insults, I insult, H threat, W any other word; J and Q are weakened insults, P and p such threats.
 
     Negation weakens an insult or threat within three words; reported speech, all that follows in the clause; a target
-    within five words before strengthens what is left.
+    within five words before strengthens what is left; so does an object up to `ahead` words after, if none stood before.
     """
     negation = countdown("N", 3, {"I": ("J", NEGATED), "H": ("P", NEGATED)})
     reported = Transducer({(s, "R"): ("R", 0.0, 1) for s in (0, 1)} | {(1, a): (b, REPORTED, 1) for a, b in ("IQ", "JQ", "Hp", "Pp")})
-    aimed = countdown("T", 5, {"I": ("I", AIMED), "H": ("H", AIMED)})
-    return composed(composed(negation, reported, "NRTIHW"), aimed, "NRTIHW")
+    aimed = countdown("TO", 5, {"I": ("L", AIMED), "H": ("K", AIMED)})
+    return composed(composed(composed(negation, reported, "NRTOIHW"), aimed, "NRTOIHW"), completed(ahead), "NRTOIHW")
 
 
 class Scorer:
     """Lexicon and grammar together. lexicon: word, or stem with a final *, to its log-weight."""
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.grammar = lexicon, grammar()
-        self.kinds = {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS} | {w: "T" for w in TARGETS} | {w: "H" for w in THREATS}
+    def __init__(self, lexicon: dict[str, float], ahead: int = 0):
+        self.lexicon, self.grammar = lexicon, grammar(ahead)
+        self.kinds = {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS} | {w: "T" for w in TARGETS} | {w: "O" for w in OBJECTS} | {w: "H" for w in THREATS}
         self.finder = ahocorasick.Automaton()
         for w in [*lexicon, *THREATS]:
             self.finder.add_word(w.rstrip("*"), w)
@@ -93,12 +105,12 @@ class Scorer:
         return kind, PLAIN if kind == "H" else 0.0
 
     def clause(self, text: str) -> float:
-        """The sum of what its insults and threats weigh where they stand. A threat counts only at a target."""
+        """The sum of what its insults and threats weigh where they stand. A threat counts only at a target; one before its object counts where that stands."""
         state, total = 0, 0.0
         for m in WORD.finditer(text):
             symbol, own = self.symbol(m[0])
             out, weight, state = self.grammar.step(state, symbol)
-            if symbol == "I" or symbol == "H" and weight > 0:
+            if symbol == "I" or symbol in "HO" and weight > 0:
                 total += max(0.0, own + weight)
         return total
 
@@ -118,6 +130,8 @@ class Scorer:
         return total
 
 
+#: Words up to an object that a threat or insult before it aims at, in the operator.
+AHEAD = 4
 #: Letters of a learnt stem.
 STEM = 5
 
@@ -182,7 +196,7 @@ def scorer_for(lexicon: dict[str, float]) -> Scorer:
     key = hash(tuple(sorted(lexicon.items())))
     if key not in _scorers:
         _scorers.clear()
-        _scorers[key] = Scorer(lexicon)
+        _scorers[key] = Scorer(lexicon, AHEAD)
     return _scorers[key]
 
 
