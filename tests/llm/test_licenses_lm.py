@@ -49,6 +49,23 @@ def test_wording_differences_and_what_only_speaks_of_licenses(spark):
     assert got[5].licenses == ["CC-BY-NC-4.0"] and not got[6].notices
 
 
+def test_standard_notices(spark):
+    terms = "you can redistribute it and/or modify\nit under the terms of the GNU {} General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    bsd = licenses.TEMPLATES[16][1] + "\n\n1. Redistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\nthis list of conditions and the following disclaimer in the documentation\nand/or other materials provided with the distribution.\n\n"
+    neither = "3. Neither the name of the copyright holder nor the names of its contributors\nmay be used to endorse or promote products derived from this software without\nspecific prior written permission.\n\n"
+    shield = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, ARE DISCLAIMED.'
+    texts = {
+        "AGPL-3.0": "This program is free software: " + terms.format("Affero", "3"),
+        "LGPL-3.0": "This library is free software: " + terms.format("Lesser", "3"),
+        "LGPL-2.1": "This library is free software; " + terms.format("Lesser", "2.1"),
+        "BSD-2-Clause": bsd + shield,
+        "BSD-3-Clause": bsd + neither + shield,
+    }
+    rows = [(k, "Copyright 2020 A. Body\n\n" + t, None, None) for k, t in enumerate(texts.values())]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, KIND)).collect()}
+    assert [got[k] for k in range(len(texts))] == [[name] for name in texts]
+
+
 def test_licenses_of_odd_rows(spark):
     line = "Released under the MIT License."
     rows = [(None, line, None, None), (1, None, None, None), (2, "", 1.0, None), (3, line, None, "a"), (3, line, None, "a")]
