@@ -59,6 +59,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_, at - at[0]
 
 
+def word_places(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, bytes) of each word of the texts, and where each text's words begin among them (one bound more than texts)."""
+    inside = np.zeros(len(data) + 2, bool)
+    np.logical_not(IS_SPACE[data], out=inside[1:-1])
+    first = inside[1:-1] & ~inside[:-2]
+    last = inside[1:-1] & ~inside[2:]
+    heads = at[:-1][np.diff(at) > 0]  # a text ends a word
+    first[heads] = inside[1:-1][heads]
+    last[heads[1:] - 1] = inside[1:-1][heads[1:] - 1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1 - starts, np.searchsorted(starts, at)
+
+
 def text_slices(batches, column: str = "text", most: int = 1 << 20):
     """Parts of the batches of about `most` bytes of text each, or of one row if that is longer."""
     for batch in batches:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import IS_SPACE, Scratch, components, text_slices, utf8
+from skein.llm.common import Scratch, components, text_slices, utf8, word_places
 
 _random = np.random.default_rng(20260101)
 _u64 = lambda n: _random.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -22,25 +22,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def hashed_words(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of word_places()."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    firsts = np.cumsum(lens) - lens
+    at = np.arange(int(lens.sum()))
+    at -= np.repeat(firsts, lens)
+    power = np.cumprod(np.full(int(lens.max()), STEP))[at]
+    at += np.repeat(starts, lens)
+    power *= BYTE[data[at]]
+    return mixed(np.add.reduceat(power, firsts) + lens.astype(np.uint64) * PLACE[-1])
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and where each text's words begin among them (one bound more than texts)."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    inside = ~IS_SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    heads = at[:-1][np.diff(at) > 0]
-    first[heads] = inside[heads]
-    begins = np.flatnonzero(first)
-    if not len(begins):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    word = (np.cumsum(first) - 1)[inside]
-    starts = np.flatnonzero(np.diff(word, prepend=-1))
-    lens = np.diff(starts, append=len(word))
-    place = np.arange(len(word)) - np.repeat(starts, lens)
-    power = np.cumprod(np.full(int(lens.max()), STEP))
-    sums = np.add.reduceat(BYTE[data[inside]] * power[place], starts)
-    return mixed(sums + lens.astype(np.uint64) * PLACE[-1]), np.searchsorted(begins, at)
+    starts, lens, bounds = word_places(data, at)
+    return hashed_words(data, starts, lens), bounds
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int):
