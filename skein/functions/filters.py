@@ -5,10 +5,11 @@ comparison that Parquet scans can use.
 """
 
 import math
-import re
+from datetime import UTC, date, datetime
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,7 @@ from skein.functions.text import contains_all, tokenize
 
 COMPARISONS = {"$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__"}
 OPPOSITE = {"$gt": "$lte", "$gte": "$lt", "$lt": "$gte", "$lte": "$gt"}
+TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 #: Names are looked up in structs down to this depth.
 DEPTH = 64
 
@@ -41,8 +43,10 @@ def resolve(schema: T.StructType, path: str) -> tuple[Column | None, T.DataType
 def family(value) -> str:
     if isinstance(value, bool):
         return "bool"
-    if isinstance(value, int | float):
+    if isinstance(value, int | float | Decimal):
         return "number"
+    if isinstance(value, date):
+        return "time"
     return "string" if isinstance(value, str) else "bytes" if isinstance(value, bytes | bytearray) else "other"
 
 
@@ -51,7 +55,9 @@ def column_family(kind: T.DataType) -> str:
         return "bool"
     if isinstance(kind, T.NumericType):
         return "number"
-    if isinstance(kind, T.StringType | T.TimestampType | T.DateType):
+    if isinstance(kind, TIMES):
+        return "time"
+    if isinstance(kind, T.StringType):
         return "string"
     return "bytes" if isinstance(kind, T.BinaryType) else "other"
 
@@ -60,15 +66,58 @@ def floating(kind) -> bool:
     return isinstance(kind, T.DoubleType | T.FloatType)
 
 
+def nan(value) -> bool:
+    return isinstance(value, float | Decimal) and math.isnan(value)
+
+
 def equatable(value, kind: T.DataType) -> bool:
-    """Whether a value can equal something in a column of this type: equality doesn't convert, but an integer may name a float."""
-    if family(value) != column_family(kind) or isinstance(value, float) and math.isnan(value):
+    """Whether a value can equal something in a column of this type: equality doesn't convert, but an integer may name a float or a decimal."""
+    if not comparable(value, kind):
         return False
-    return not (isinstance(value, float) and isinstance(kind, T.IntegralType))
+    return not (isinstance(value, float | Decimal) and isinstance(kind, T.IntegralType))
+
+
+def comparable(value, kind: T.DataType) -> bool:
+    """Whether a value has a place in the order of a column of this type. Times may be given as text in ISO form."""
+    if isinstance(kind, TIMES):
+        return moment(value) is not None
+    return family(value) == column_family(kind) != "other" and not nan(value)
+
+
+def moment(value) -> datetime | None:
+    """A date, a time or text in ISO form as a time; None if it is none."""
+    if isinstance(value, str):
+        try:
+            value = datetime.fromisoformat(value)
+        except ValueError:
+            return None
+    if isinstance(value, datetime):
+        return value
+    return datetime(value.year, value.month, value.day) if isinstance(value, date) else None
 
 
 def literal(value, kind: T.DataType) -> Column:
-    return F.lit(value).cast(kind) if isinstance(kind, T.TimestampType | T.DateType) else F.lit(value)
+    """A constant that the scan can be asked for. A time with a zone is told to a column without one in UTC; one without a zone is the session's."""
+    if not isinstance(kind, TIMES):
+        return F.lit(value)
+    t = moment(value)
+    if t.tzinfo and not isinstance(kind, T.TimestampType):
+        t = t.astimezone(UTC).replace(tzinfo=None)
+    if isinstance(kind, T.DateType):  # a time within a day lies between dates: Spark compares the column as a time
+        return F.lit(t.date().isoformat()).cast(kind) if t == datetime(t.year, t.month, t.day) else F.lit(t.isoformat(" ")).cast("timestamp_ntz")
+    return F.lit(t.isoformat(" ")).cast(kind)
+
+
+def checked_pattern(value) -> str:
+    """A pattern of the engine that runs it, Java's, with its errors at once. Named groups may be written (?P<name>...)."""
+    if not isinstance(value, str):
+        raise FilterError(f"$regex needs a text: {value!r}")
+    pattern = value.replace("(?P<", "(?<")
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:
+        raise FilterError(f"$regex: {value!r}: {getattr(e, 'java_exception', e)}") from e
+    return pattern
 
 
 class Compiler:
@@ -124,11 +173,8 @@ class Compiler:
             found = contains_all(column, tokens) if column is not None and isinstance(kind, T.StringType) else None
             return self.either(column, found, positive)
         if op == "$regex":
-            try:
-                re.compile(value)
-            except (re.error, TypeError) as e:
-                raise FilterError(f"$regex: {value!r}: {e}") from e
-            found = column.rlike(value) if column is not None and isinstance(kind, T.StringType) else None
+            pattern = checked_pattern(value)
+            found = column.rlike(pattern) if column is not None and isinstance(kind, T.StringType) else None
             return self.either(column, found, positive)
         raise FilterError(f"unknown operator {op}")
 
@@ -155,7 +201,7 @@ class Compiler:
         return column.isNotNull() & ~found if null else column.isNull() | ~found
 
     def ranged(self, column, kind, op: str, value, positive: bool) -> Column:
-        if column is None or family(value) != column_family(kind) or family(value) == "other" or isinstance(value, float) and math.isnan(value):
+        if column is None or not comparable(value, kind):
             return F.lit(not positive)
         compare = lambda name: getattr(column, COMPARISONS[name])(literal(value, kind))
         if positive:

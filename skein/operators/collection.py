@@ -1,11 +1,16 @@
 """Collections: a table under a name, with the document API on top."""
 
+import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skein.functions import crypto
 from skein.functions.filters import FilterError, compile_filter
 from skein.functions.vectors import METRICS, nearest
-from skein.operators import pipeline, updates
+from skein.operators import audit, pipeline, updates
+from skein.operators.schema import Schema
 
 SYSTEM = {"_audit", "_schema"}
 
@@ -17,28 +22,56 @@ def check_name(name: str) -> str:
 
 
 class Collection:
-    """Reads are lazy plans; writes return the collection after them, whose plan can be saved."""
+    """Reads are lazy plans; writes return the collection after them, whose plan can be saved.
 
-    def __init__(self, df: DataFrame, name: str = "docs", id_col: str = "_id", indexes: dict | None = None):
-        self.df, self.name, self.id_col, self.indexes = df, check_name(name), id_col, indexes or {"btree": [], "compound": [], "fts": [], "vector": {}}
+    Every write stamps _changed_at. With a caller, `log` gathers audit entries of each write; with a schema, rows are checked as they
+    are written and upgraded as they are read; with `secret` (fields -> types, and a key), these fields are stored encrypted.
+    """
 
-    def _with(self, df: DataFrame) -> "Collection":
-        return Collection(df, self.name, self.id_col, self.indexes)
+    def __init__(self, df: DataFrame, name: str = "docs", id_col: str = "_id", indexes: dict | None = None, schema: Schema | None = None, caller: str | None = None, log: DataFrame | None = None, secret: tuple[dict, bytes] | None = None):
+        self.df, self.name, self.id_col = df, check_name(name), id_col
+        self.indexes = indexes or {"btree": [], "compound": [], "fts": [], "vector": {}}
+        self.schema, self.caller, self.log, self.secret = schema, caller, log, secret
 
-    def find(self, where=None, sort: dict | None = None, skip: int = 0, limit: int | None = None, fields: list[str] | None = None) -> DataFrame:
-        out = self.df.where(compile_filter(where, self.df.schema))
+    def _with(self, df: DataFrame) -> "Collection":
+        log = self.log
+        if self.caller:
+            before, after = (x.drop("_changed_at") for x in (self.df, df))
+            told = audit.entries(updates.changes_between(before, after, self.id_col), self.name, self.caller, updates.now_ms(), id_col=self.id_col)
+            log = told if log is None else log.unionByName(told)
+        return Collection(df, self.name, self.id_col, self.indexes, self.schema, self.caller, log, self.secret)
+
+    def rows(self) -> DataFrame:
+        """Documents as they are read: decrypted and upgraded. aggregate() sees them as stored."""
+        df = crypto.decrypted(self.df, *self.secret, self.id_col) if self.secret else self.df
+        return self.schema.read(df) if self.schema else df
+
+    def _stored(self, rows: DataFrame, label: str) -> DataFrame:
+        rows = self.schema.written(rows, label) if self.schema else rows
+        return crypto.encrypted(rows, [f for f in self.secret[0] if f in rows.columns], self.secret[1], self.id_col) if self.secret else rows
+
+    def find(self, where=None, sort: dict | None = None, skip: int = 0, limit: int | None = None, fields: list[str] | None = None, timeout: float | None = None) -> DataFrame:
+        """Filter, sort, skip, limit, project. Pages without a sort go along the ids. With a timeout the rows are computed at once and kept."""
+        df = self.rows()
+        out = df.where(compile_filter(where, df.schema))
         if sort:
             out = out.orderBy(*pipeline.sort_columns(sort, out, self.id_col))
+        elif skip or limit is not None:
+            out = pipeline.in_id_order(out, self.id_col)
         out = out.offset(skip) if skip else out
         out = out if limit is None else out.limit(limit)
-        return out.select([c for c in out.columns if c == self.id_col or c in fields]) if fields else out
+        out = out.select([F.col(f"`{c}`") for c in out.columns if c == self.id_col or c in fields]) if fields else out
+        return out if timeout is None else within(out, timeout)
 
     def find_one(self, where=None) -> DataFrame:
-        return self.find(where, sort={self.id_col: 1}, limit=1)
+        return self.find(where, limit=1)
 
     def find_by_id(self, key) -> DataFrame:
         return self.find({self.id_col: key}).limit(1)
 
+    def find_by_ids(self, keys: DataFrame) -> DataFrame:
+        return updates.looked_up(self.rows(), keys, self.id_col)
+
     def count(self, where=None) -> int:
         return self.find(where).count()
 
@@ -49,20 +82,27 @@ class Collection:
         index = self.indexes["vector"].get(field)
         if index is None:
             raise FilterError(f"no vector index on {field}")
-        return nearest(self.df, field, query, k, index["metric"], index["dimensions"], None if not where else compile_filter(where, self.df.schema), self.id_col)
+        df = self.rows()
+        return nearest(df, field, query, k, index["metric"], index["dimensions"], None if not where else compile_filter(where, df.schema), self.id_col)
+
+    def insert_many(self, rows: DataFrame, made_id=None, stamp=None) -> "Collection":
+        """Rows get new ids (or `made_id`) and lose fields that are the engine's own."""
+        new = updates.fresh(rows, self.id_col, stamp, made_id)
+        return self._with(self.df.unionByName(self._stored(new, "insert"), allowMissingColumns=True))
 
-    def insert_many(self, rows: DataFrame) -> "Collection":
-        return self._with(self.df.unionByName(rows, allowMissingColumns=True))
+    def insert_with_ids(self, rows: DataFrame) -> "Collection":
+        """Rows with ids of their own, stored as they are."""
+        return self._with(self.df.unionByName(self._stored(rows, "insert"), allowMissingColumns=True))
 
     def replace_many_with_ids(self, rows: DataFrame, revision: str | None = None) -> "Collection":
-        return self._with(updates.upserted(self.df, rows, self.id_col, revision))
+        return self._with(updates.upserted(self.df, self._stored(rows, "replace"), self.id_col, revision))
 
     def update_many(self, where, update: dict, stamp=None) -> "Collection":
-        return self._with(updates.updated(self.df, where, update, stamp))
+        return self._with(updates.updated(self.df, where, update, updates.now_ms() if stamp is None else stamp))
 
     def update_one(self, where, update: dict, stamp=None) -> "Collection":
         first = self.find_one(where).select(self.id_col).collect()
-        return self._with(updates.updated(self.df, {self.id_col: first[0][0]}, update, stamp)) if first else self
+        return self.update_many({self.id_col: first[0][0]}, update, stamp) if first else self
 
     def delete_many(self, where) -> "Collection":
         return self._with(updates.deleted(self.df, where))
@@ -77,7 +117,8 @@ class Collection:
     def create_compound_index(self, fields: list[str]) -> None:
         if len(fields) < 2 or len(set(fields)) < len(fields) or any(not f or "::" in f for f in fields):
             raise FilterError(f"not fields of a compound index: {fields}")
-        self.indexes["compound"].append(tuple(fields))
+        if tuple(fields) not in self.indexes["compound"]:
+            self.indexes["compound"].append(tuple(fields))
 
     def create_fts_index(self, field: str) -> None:
         self.indexes["fts"] = sorted({*self.indexes["fts"], field})
@@ -87,7 +128,13 @@ class Collection:
             raise FilterError(f"unknown metric {metric}")
         self.indexes["vector"].setdefault(field, {"dimensions": dimensions, "metric": metric})
 
-    def drop_index(self, kind: str, field: str) -> None:
+    def vector_coverage(self, field: str) -> DataFrame:
+        """(indexed, left_out): how many rows have a vector of the index's length, and how many a search passes over."""
+        good = F.coalesce(F.size(F.col(field)) == self.indexes["vector"][field]["dimensions"], F.lit(False))
+        return self.rows().agg(F.count_if(good).alias("indexed"), F.count_if(~good).alias("left_out"))
+
+    def drop_index(self, kind: str, field) -> None:
+        field = tuple(field) if kind == "compound" else field
         if field not in self.indexes[kind]:
             raise FilterError(f"no {kind} index on {field}")
         self.indexes[kind].pop(field) if kind == "vector" else self.indexes[kind].remove(field)
@@ -96,6 +143,35 @@ class Collection:
         return {"btree": list(self.indexes["btree"]), "fts": list(self.indexes["fts"]), "vector": sorted(self.indexes["vector"])}
 
 
+class QueryTimeout(TimeoutError):
+    """A query that took longer than it was given."""
+
+
+def within(df: DataFrame, seconds: float) -> DataFrame:
+    """df, computed and kept; its jobs are cancelled after so many seconds."""
+    context, tag = df.sparkSession.sparkContext, f"skein-{uuid.uuid4().hex}"
+    late: list = []
+
+    def stop() -> None:
+        late.append(True)
+        context.cancelJobsWithTag(tag)
+
+    timer, kept = threading.Timer(seconds, stop), df.persist()
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        kept.count()
+    except Exception as e:
+        kept.unpersist()
+        if late:
+            raise QueryTimeout(f"not done in {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+    return kept
+
+
 class Database:
     """Collections of one session."""
 
@@ -119,5 +195,3 @@ def migrate(version: int, steps: dict, df: DataFrame) -> tuple[int, DataFrame]:
         if v > version:
             version, df = v, steps[v](df)
     return version, df
-
-

@@ -19,26 +19,50 @@ def sort_columns(spec: dict, df: DataFrame, id_col: str = "_id") -> list[Column]
     return keys + ([F.col(id_col).asc()] if id_col in df.columns and id_col not in spec else [])
 
 
+def reversed_key(column: Column, kind) -> list[Column]:
+    """Columns that, ascending, order rows as `column` does descending, missing values last."""
+    missing = column.isNull()
+    if isinstance(kind, T.IntegralType):
+        return [missing, F.bitwise_not(column)]  # unlike -x, never too large
+    if floating(kind):
+        return [missing, ~F.isnan(column), -column]
+    if isinstance(kind, T.DecimalType):
+        return [missing, -column]
+    if isinstance(kind, T.BooleanType):
+        return [missing, ~column]
+    if isinstance(kind, T.TimestampType):
+        return [missing, -F.unix_micros(column)]
+    if isinstance(kind, T.TimestampNTZType):
+        return [missing, -F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column)]
+    if isinstance(kind, T.DateType):
+        return [missing, -F.unix_date(column)]
+    if isinstance(kind, T.StringType | T.BinaryType):  # each byte's complement; the end of a text comes after any byte
+        return [missing, F.concat(F.translate(F.hex(column), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))]
+    raise FilterError(f"an ordered accumulator can't follow a descending $sort on {kind.simpleString()}")
+
+
 def _order(df: DataFrame, sort: dict | None, id_col: str) -> Column:
     """One value for each row that orders rows as the preceding $sort does, for accumulators that ask for an order."""
     parts = []
     for path, way in (sort or {}).items():
         column, kind = resolve(df.schema, path)
-        if column is None:
-            continue
-        if way == 1:
-            parts.append(column)
-        elif isinstance(kind, T.NumericType):
-            parts += [column.isNull(), -column]
-        elif isinstance(kind, T.TimestampType):
-            parts += [column.isNull(), -F.unix_micros(column)]
-        else:
-            raise FilterError(f"an ordered accumulator after a descending $sort on {path} needs a number or a time")
+        if column is not None:
+            parts += [column] if way == 1 else reversed_key(column, kind)
     if id_col in df.columns:
         parts.append(F.col(id_col))
     return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]) if parts else F.lit(0)
 
 
+def total(column: Column, kind) -> Column:
+    """The sum of numbers, 0 of none. Sums of 64-bit integers are exact, as decimals of 38 digits; no sum of such numbers overflows these."""
+    if isinstance(kind, T.LongType):
+        return F.coalesce(F.sum(column.cast("decimal(20,0)")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    if isinstance(kind, T.DecimalType):
+        wide = T.DecimalType(38, kind.scale)  # Spark adds ten digits before the point
+        return F.coalesce(F.sum(column).cast(wide), F.lit(0).cast(wide))
+    return F.coalesce(F.sum(column), F.lit(0.0) if floating(kind) else F.lit(0).cast("long"))
+
+
 def accumulator(df: DataFrame, spec: dict, sort: dict | None, id_col: str) -> Column:
     if not isinstance(spec, dict) or len(spec) != 1:
         raise FilterError(f"an accumulator has one operator: {spec!r}")
@@ -54,8 +78,7 @@ def accumulator(df: DataFrame, spec: dict, sort: dict | None, id_col: str) -> Co
     if op == "$sum":
         if not number:
             return F.lit(0).cast("long") + F.count(F.when(F.lit(False), 1))
-        total = F.sum(column if floating(kind) else column.cast("decimal(38,0)"))
-        return F.coalesce(total, F.lit(0.0)) if floating(kind) else F.coalesce(F.try_cast(total, "long") if hasattr(F, "try_cast") else total.try_cast("long"), F.lit(0).cast("long"))
+        return total(column, kind)
     if op == "$avg":
         return F.avg(column.cast("double")) if number else F.max(F.lit(None).cast("double"))
     if op == "$min":
@@ -106,8 +129,19 @@ def projected(df: DataFrame, spec: dict) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in names])
 
 
+def in_id_order(df: DataFrame, id_col: str) -> DataFrame:
+    """What a page counts along where nothing is sorted: the id, for groups its text. With a limit, a top-k."""
+    column, kind = resolve(df.schema, id_col)
+    return df if column is None else df.orderBy(column if isinstance(kind, T.NumericType) else column.cast("string"))
+
+
 def aggregate(df: DataFrame, stages: list[dict], id_col: str = "_id") -> DataFrame:
-    sort = None
+    """Each stage's plan on the one before. A $sort is planned where rows are cut or returned; a $group takes only its order along."""
+    sort, planned = None, False  # the order that rows are in, and whether the plan sorts by it
+
+    def sorted_(df):
+        return df.orderBy(*sort_columns(sort, df, id_col)) if sort is not None and not planned else df
+
     for stage in stages:
         if not isinstance(stage, dict) or len(stage) != 1:
             raise FilterError(f"a stage has one operator: {stage!r}")
@@ -115,15 +149,17 @@ def aggregate(df: DataFrame, stages: list[dict], id_col: str = "_id") -> DataFra
         if op == "$match":
             df = df.where(compile_filter(arg, df.schema))
         elif op == "$group":
-            df, sort = grouped(df, arg, sort, id_col), None
+            df, sort, planned = grouped(df, arg, sort, id_col), None, False
         elif op == "$sort":
-            df, sort = df.orderBy(*sort_columns(arg, df, id_col)), arg
+            sort_columns(arg, df, id_col)  # tells errors at once
+            sort, planned = arg, False
         elif op in ("$skip", "$limit"):
             if not isinstance(arg, int) or isinstance(arg, bool) or arg < 0:
                 raise FilterError(f"{op} needs a count")
-            df = df.offset(arg) if op == "$skip" else df.limit(arg)
+            df = in_id_order(df, id_col) if sort is None and not planned else sorted_(df)
+            df, planned = df.offset(arg) if op == "$skip" else df.limit(arg), True
         elif op == "$project":
-            df = projected(df, arg)
+            df, planned = projected(sorted_(df), arg), planned or sort is not None
         else:
             raise FilterError(f"unknown stage {op}")
-    return df
+    return sorted_(df)

@@ -1,10 +1,22 @@
 """Reading and writing collections: JSON, NDJSON, CSV, Parquet and snapshots."""
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset on one machine, one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='skein-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """A table by its kind or file name; a JSON file that begins with [ is one array."""
     kind = kind or path.rstrip("/").rpartition(".")[2]
@@ -33,3 +45,34 @@ def snapshot(tables: dict[str, DataFrame], path: str) -> None:
 def restore(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     names = json.loads(spark.read.text(f"{path}/_manifest.txt").first()[0])
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def compact(spark: SparkSession, path: str, file_mb: int = 256) -> int:
+    """Rewrite a table in files of about `file_mb`, beside it, then put the new one in its place; returns the number of files.
+
+    The old table is moved away before the new one comes, and removed last: a run that breaks off leaves one of the two whole.
+    """
+    jvm = spark._jvm
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}__new", f"{path}__old"))
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = max(1, -(-system.getContentSummary(at).getLength() // (file_mb << 20)))
+    df = spark.read.parquet(path)
+    (df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df.repartition(parts)).write.mode("overwrite").parquet(f"{path}__new")
+    system.delete(old, True)
+    if not system.rename(at, old) or not system.rename(new, at):
+        raise OSError(f"{path} could not be replaced; its rows are in {path}__old or {path}__new")
+    system.delete(old, True)
+    spark.catalog.refreshByPath(path)
+    return parts
+
+
+def config(path: str) -> dict:
+    """Settings of a .json, .yml or .yaml file; YAML needs the yaml package."""
+    with open(path) as f:
+        if path.endswith(".json"):
+            return json.load(f)
+        if path.endswith((".yml", ".yaml")):
+            import yaml
+
+            return yaml.safe_load(f) or {}
+    raise ValueError(f"not a file of settings: {path}")

@@ -6,16 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def watch(changes: DataFrame, query: Callable[[], DataFrame], notify: Callable[[DataFrame], None], checkpoint: str, once: bool = False):
-    """Run `query` after each batch of the streaming DataFrame `changes`, and notify if its rows changed; changes of one batch make one run."""
+def fingerprint(rows: DataFrame) -> tuple:
+    """The number of rows and the sum of their hashes, whatever their types and names: each row is hashed as JSON."""
+    told = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)]), {"ignoreNullFields": "false"}).alias("r"))
+    return tuple(told.agg(F.count("*"), F.sum(F.xxhash64("r").cast("decimal(38,0)"))).first())
+
+
+def watch(changes: DataFrame, query: Callable[[], DataFrame], notify: Callable[[DataFrame], None], checkpoint: str, once: bool = False, first: bool = False):
+    """Run `query` after each batch of the streaming DataFrame `changes`, and notify if its rows changed; changes of one batch make one run.
+
+    The rows are computed once: they are kept while they are hashed and told. `first` tells the rows as they are now, at once.
+    """
     last: list = []
 
-    def run(batch: DataFrame, _: int) -> None:
-        result = query()
-        print_ = result.agg(F.count("*"), F.sum(F.xxhash64(*result.columns).cast("decimal(38,0)"))).first()
-        if not last or last[-1] != print_:
-            last[:] = [print_]
-            notify(result)
+    def tell() -> None:
+        result = query().persist()
+        try:
+            now = fingerprint(result)
+            if not last or last[-1] != now:
+                last[:] = [now]
+                notify(result)
+        finally:
+            result.unpersist()
 
-    writer = changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    if first:
+        tell()
+    writer = changes.writeStream.foreachBatch(lambda batch, number: tell()).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="300 milliseconds").start()
