@@ -68,11 +68,12 @@ def compact(spark: SparkSession, path: str, file_mb: int = 256) -> int:
 
 def config(path: str) -> dict:
     """Settings of a .json, .yml or .yaml file; YAML needs the yaml package."""
+    kind = path.rpartition(".")[2]
+    if kind not in ("json", "yml", "yaml"):
+        raise ValueError(f"not a file of settings: {path}")
     with open(path) as f:
-        if path.endswith(".json"):
+        if kind == "json":
             return json.load(f)
-        if path.endswith((".yml", ".yaml")):
-            import yaml
+        import yaml
 
-            return yaml.safe_load(f) or {}
-    raise ValueError(f"not a file of settings: {path}")
+        return yaml.safe_load(f) or {}
