@@ -100,12 +100,6 @@ def test_quality(docs, rows):
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == good
 
 
-def test_em_tells_bad_from_good():
-    good, bad = "1" * len(quality.RULES), "0" + "1" * (len(quality.RULES) - 1)
-    rates, share = quality.fitted({good: 900, bad: 100})
-    assert quality.odds(good, rates, share) > 0 > quality.odds(bad, rates, share)
-
-
 def test_mix(docs, rows):
     out = mixing.mix(docs).collect()
     assert sorted(map(repr, out)) == sorted(map(repr, mixing.mix(docs).collect())) and len(out) == len(rows)
