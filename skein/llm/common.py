@@ -18,28 +18,39 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), one of our own."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; where that is unset on one machine, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='skein-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables of one operator's run, in the shared folder; the driver removes them as it ends."""
+    """Tables of one operator's run, in the shared folder. Operators drop those that their result doesn't read; the rest goes with the driver, or at spent()."""
+
+    open: list = []
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self.names = spark, []
         self.root = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        Scratch.open.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def only(self, *names: str) -> None:
+        """Drop all tables but these, which a result still reads."""
+        for name in [n for n in self.names if n not in names]:
+            self.drop(name)
+
     def drop(self, name: str = "") -> None:
+        self.names = [n for n in self.names if name and n != name]
         try:
             jvm = self.spark._jvm
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -47,6 +58,16 @@ class Scratch:
         except Exception:  # the session has ended: there is no file system to ask
             return
 
+    @staticmethod
+    def spent(kept: tuple = ()) -> None:
+        """Drop all that is still there but of `kept`: for a caller who has saved the results that read it."""
+        for scratch in [s for s in Scratch.open if s not in kept]:
+            scratch.drop()
+            Scratch.open.remove(scratch)
+
+
+atexit.register(Scratch.spent)
+
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and each row's bounds in them; nulls are empty."""
@@ -103,15 +124,17 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp) for every node of the edges (u, v): comp is the smallest node that it reaches.
 
-    Large-star and small-star rounds; each is written to the shared folder. Every round needs a minimum
-    for each node (combined before the shuffle) and a join, in which Spark splits hot nodes.
+    Large-star and small-star rounds until nothing changes; each is written to the shared folder. Every round needs a minimum
+    for each node (combined before the shuffle) and a join, in which Spark splits hot nodes. Nodes may be structs: with a document's
+    id in front, comp tells the smallest id at once, and no join by component, which may hold a third of all rows, is needed.
     """
     pairs = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    seen = None
-    for k in range(1, most + 1):
+    seen, k = None, 0
+    while True:
+        k += 1
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -123,7 +146,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most: int = 60) ->
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     comp = pairs.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return comp.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    return scratch.save(comp.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), name)
+
+
+def node(low: str, name: str):
+    """A class as a node: ordered by its smallest id, null last, and told apart by its digest."""
+    return F.struct(F.col(low).isNull().alias("none"), F.col(low).alias("low"), F.col(name).alias("name"))

@@ -75,10 +75,16 @@ def test_near_duplicates_in_blocks(docs, rows):
     assert sorted(repr(tuple(r)) for r in minhash.near_duplicates(docs, 4, block=8).collect()) == near(rows, 4)
 
 
-def test_one_of_each(docs, rows):
+def test_one_of_each(spark, docs, rows):
     out = minhash.one_of_each(docs)
     assert out.columns == docs.columns
     assert sorted(repr(r["doc_id"]) for r in out.collect()) == sorted({x.split(",")[0][1:] for x in near(rows, 5) if x.endswith("True)")})
+    prose = [" ".join(word(i * 7 + k * k) for k in range(40)) for i in range(6)]
+    odd = [(None, prose[0], "a"), (None, prose[1], "b"), (None, prose[1], "c"), (7, prose[2], "d"), (7, prose[3], "e"), (8, prose[3] + " more", "f"), (9, prose[4], "g"), (9, prose[4], "g"), (5, prose[5], "h"), (None, prose[5], "i"), (1, None, "j"), (1, "", "k"), (None, " ", "l")]
+    df = spark.createDataFrame(odd, "doc_id long, text string, digest string")
+    got = sorted(r["digest"] for r in minhash.one_of_each(df).collect())
+    assert got in (sorted("adeghjkl" + x) for x in "bc")  # every text once, of the smallest id where there is one
+    assert minhash.one_of_each(df.where("false")).collect() == [] == minhash.near_duplicates(df.where("false")).collect()
 
 
 def test_quality(docs, rows):
