@@ -78,7 +78,7 @@ class Runs:
 class Bpe:
     """A vocabulary and its merges, read from a tokenizers JSON file."""
 
-    #: Words remembered between batches; beyond it the memory is emptied. Longer words are merged with a heap.
+    #: Words remembered between batches; beyond it the memory is emptied. Longer words have rounds of their own.
     REMEMBER, LONG = 400_000, 2_000
 
     def __init__(self, path: str):
@@ -93,6 +93,7 @@ class Bpe:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
+        self.pairs = [(vocab[a], vocab[b]) for a, b in pairs]
         size = max(*vocab.values(), *self.special.values(), 0) + 1
         shown = [b""] * size
         for token, i in vocab.items():
@@ -162,25 +163,44 @@ class Bpe:
         return flat[ragged(starts[order], sizes[order])], sizes[order]
 
     def merge_long(self, symbols: np.ndarray) -> np.ndarray:
-        """The same for one very long word, in time n log n: a heap of pairs over a linked list."""
-        n, sym = len(symbols), symbols.tolist()
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        rank = self.ranks_of(symbols[:-1], symbols[1:])
-        heap = [(int(r), i, sym[i], sym[i + 1]) for i, r in enumerate(rank) if r < NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if sym[i] == a else -1
-            if j < 0 or sym[j] != b:
-                continue
-            sym[i], sym[j] = int(self.made[r]), -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r2 := int(self.ranks_of(np.array([sym[x]]), np.array([sym[y]]))[0])) < NONE:
-                    heapq.heappush(heap, (r2, x, sym[x], sym[y]))
-        return np.array([x for x in sym if x >= 0], np.int64)
+        """The same rounds for one very long word: over a linked list of its symbols, so a round costs no more than what it merges."""
+        n, sym = len(symbols), np.append(symbols, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        at_rank: dict[int, list] = {}
+        waiting: list[int] = []
+
+        def wait(ranks: np.ndarray, at: np.ndarray) -> None:
+            good = np.flatnonzero(ranks < NONE)
+            good = good[np.argsort(ranks[good], kind="stable")]
+            ranks, at = ranks[good], at[good]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for r, places in zip(ranks[np.concatenate([[0], cuts])].tolist() if len(ranks) else [], np.split(at, cuts)):
+                if r not in at_rank:
+                    at_rank[r] = []
+                    heapq.heappush(waiting, r)
+                at_rank[r].append(places)
+
+        wait(self.ranks_of(symbols[:-1], symbols[1:]), np.arange(n - 1))
+        while waiting:
+            r = heapq.heappop(waiting)
+            a, b = self.pairs[r]
+            at = np.unique(np.concatenate(at_rank.pop(r)))
+            at = at[sym[at] == a]
+            at = at[sym[after[at]] == b]  # the end and merged places hold -1
+            if a == b and len(at) > 1:  # of overlapping pairs every other one from the left
+                order, new = np.arange(len(at)), np.ones(len(at), bool)
+                new[1:] = after[at[:-1]] != at[1:]
+                at = at[(order - np.maximum.accumulate(np.where(new, order, 0))) % 2 == 0]
+            gone = after[at]
+            sym[at], sym[gone] = self.made[r], -1
+            after[at] = after[gone]
+            before[after[at]] = at
+            inner = at[after[at] < n]
+            outer = before[at]
+            outer = outer[outer >= 0]
+            wait(self.ranks_of(sym[inner], sym[after[inner]]), inner)
+            wait(self.ranks_of(sym[outer], sym[after[outer]]), outer)
+        return sym[:n][sym[:n] >= 0]
 
     def learn(self, words: list[str]) -> None:
         """Encode words that were not met before; their numbers follow in this order."""
@@ -236,7 +256,7 @@ PART = 1 << 20
 
 
 def digests(bpe: Bpe, texts: list[str]):
-    """(tokens, sha256 of the ids, sha256 of the decoded text) of each text."""
+    """(ids, sha256 of the ids, sha256 of the decoded text) of each text."""
     short = [t for t in texts if len(t) <= PART]
     cut = [bpe.cut(t) for t in short]
     ids, sizes = bpe.encode_words([w for words in cut for w in words])
@@ -254,18 +274,18 @@ def digests(bpe: Bpe, texts: list[str]):
             continue
         listed = digits[digits_at[k] : max(digits_at[k], digits_at[k + 1] - 1)]
         decoded = shown[shown_at[k] : shown_at[k + 1]].decode("utf-8", "replace")
-        yield int(at[k + 1] - at[k]), sha256(listed).hexdigest(), sha256(decoded.encode()).hexdigest()
+        yield ids[at[k] : at[k + 1]], sha256(listed).hexdigest(), sha256(decoded.encode()).hexdigest()
         k += 1
 
 
-def long_digests(bpe: Bpe, text: str) -> tuple[int, str, str]:
-    words, n, listed, decoded = bpe.pieces(text), 0, sha256(), sha256()
+def long_digests(bpe: Bpe, text: str) -> tuple[np.ndarray, str, str]:
+    words, every, listed, decoded = bpe.pieces(text), [], sha256(), sha256()
     while part := list(islice(words, PART // 8)):
         ids, _ = bpe.encode_words(part)
-        listed.update((b"," if n else b"") + bpe.decimal.take(ids)[0].tobytes()[:-1])
+        listed.update((b"," if every else b"") + bpe.decimal.take(ids)[0].tobytes()[:-1])
         decoded.update(bpe.shown.take(ids)[0].tobytes().decode("utf-8", "replace").encode())
-        n += len(ids)
-    return n, listed.hexdigest(), decoded.hexdigest()
+        every.append(ids.astype(np.int32))
+    return np.concatenate(every), listed.hexdigest(), decoded.hexdigest()
 
 
 _loaded: dict[str, Bpe] = {}
@@ -278,33 +298,25 @@ def loaded(path: str) -> Bpe:
     return _loaded[path]
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each whole text, decode the ids again, and digest both.
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), with `ids` if asked for: encode each whole text, decode the ids again, and digest both.
 
     A null text is empty: no tokens, and the digests of the empty string. Each row is on its own, so ties,
-    repeated rows and other columns change nothing. A special token's string in a text is that token.
-    The vocabulary's path must be there on every executor. Rows of any length take bounded memory besides the text.
+    repeated rows and other columns change nothing; an empty table gives no rows; a null doc_id stays null. A special token's string in a text is that token.
+    The vocabulary's path must be there on every executor. Rows of any length take bounded memory besides the text and its ids.
     """
-    out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
 
     def run(batches):
         bpe = loaded(path)
         for part in text_slices(batches):
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            rows = list(zip(*digests(bpe, texts)))
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2])], schema=out)
-
-    found = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return found.withColumnRenamed("id", "doc_id")
-
-
-def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the token ids themselves; a null text has an empty list."""
-
-    def run(batches):
-        bpe = loaded(path)
-        for part in text_slices(batches):
-            ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+            ids, listed, decoded = zip(*digests(bpe, [t or "" for t in part.column(1).to_pylist()]))
+            sizes = np.array([len(x) for x in ids], np.int64)
+            columns = [part.column(0), pa.array(sizes), pa.array(listed), pa.array(decoded)]
+            if keep_ids:
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)

@@ -107,21 +107,22 @@ def predicted(net: Net, data: np.ndarray, at: np.ndarray, texts) -> tuple[list,
     return langs, scores
 
 
-def trained(docs: DataFrame, sample: int = 3000, parts: int = 4, held: int = 2) -> Net | None:
+def trained(docs: DataFrame, sample: int = 3000, parts: int = 4, held: int = 2, slice_: int = 3 * WINDOW, most: int = 128) -> Net | None:
     """A network for the languages of docs(doc_id, text, lang), from about `sample` rows, at most twice that, shared evenly by its languages.
 
     Rows whose crc32(doc_id) modulo `parts` is `held`, and those without lang or text, are left out. Each row
-    gives one slice of its text, from a place that a hash sets. None if there is no such row.
+    gives `slice_` characters of its text, from a place that a hash sets, and of these one whole window and a shorter one. Of over `most` values of
+    lang, which a table with dirty labels may have, those of the most rows are learnt. None if there is no such row.
     """
     usable = docs.where("lang is not null and text is not null").where(crc_mod("doc_id", parts) != held)
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
         return None
     labels = sorted(counts)
     rate = F.element_at(F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, sample / len(labels) / counts[k]))]), F.col("lang"))
-    chosen = usable.withColumn("h", F.xxhash64("doc_id", F.length("text"))).where(F.pmod("h", F.lit(1_000_000)) < rate * 1_000_000)
-    start = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - 3 * WINDOW, F.lit(1))).cast("int") + 1
-    rows = chosen.select("lang", F.substring("text", start, F.lit(3 * WINDOW)).alias("part"), "h").orderBy("h", "lang", "part").limit(2 * sample).collect()
+    chosen = usable.where(F.col("lang").isin(labels)).withColumn("h", F.xxhash64("doc_id", F.length("text"))).where(F.pmod("h", F.lit(1_000_000)) < rate * 1_000_000)
+    start = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - slice_, F.lit(1))).cast("int") + 1
+    rows = chosen.select("lang", F.substring("text", start, F.lit(slice_)).alias("part"), "h").orderBy("h", "lang", "part").limit(2 * sample).collect()
     rng = np.random.default_rng(4)
     x, y = [], []
     for r in rows:
@@ -163,7 +164,10 @@ def identify(docs: DataFrame, sample: int = 3000) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.3, sample: int = 3000) -> DataFrame:
-    """The rows of docs in a language that its labels teach: not `und`, and with a score of at least `least`. Columns are kept."""
+    """The rows of docs in a language that its labels teach: not `und`, and with a score of at least `least`. Columns are kept, whatever their names.
+
+    Null texts and those without a letter go; without any label all rows go; repeated rows go or stay together; an empty table stays empty.
+    """
     net = trained(docs.select("doc_id", "text", "lang"), sample)
     names = docs.columns
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), docs["text"].cast("string").alias("text"))

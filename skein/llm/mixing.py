@@ -9,8 +9,10 @@ from skein.llm.common import WORD, Scratch
 
 #: 2 ** 64 over the golden ratio: multiples of it, modulo 2 ** 64, are the golden-ratio points.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Words in a block, slots dealt in one piece, and parts in which each source is shuffled and summed.
-BLOCK, PIECE, PARTS = 128, 1 << 15, 1024
+#: Words in a block, slots dealt in one piece, least parts in which each source is shuffled and summed, and rows of the table for one more.
+BLOCK, PIECE, PARTS, ROWS = 128, 1 << 15, 1024, 1 << 16
+#: Sources that are sent to all tasks; more are joined by a shuffle.
+SENT = 10_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = 2.0) -> list[float]:
@@ -51,8 +53,8 @@ def schedule(spark, shares: list[float], slots: int) -> DataFrame:
     def counted(batches):
         for batch in batches:
             for piece in batch.column(0).to_pylist():
-                n = np.bincount(dealt(piece)[1], minlength=len(shares))
-                yield pa.RecordBatch.from_arrays([pa.array([piece] * len(n), pa.int64()), pa.array(np.arange(len(n), dtype=np.int64)), pa.array(n)], ["piece", "src", "n"])
+                src, n = np.unique(dealt(piece)[1], return_counts=True)  # of the sources, those that the piece has
+                yield pa.RecordBatch.from_arrays([pa.array([piece] * len(n), pa.int64()), pa.array(src.astype(np.int64)), pa.array(n)], ["piece", "src", "n"])
 
     def placed(batches):
         for batch in batches:
@@ -74,17 +76,12 @@ def schedule(spark, shares: list[float], slots: int) -> DataFrame:
     return carried.mapInArrow(placed, "src long, rank long, slot long")
 
 
-def line(docs: DataFrame, ranks: dict, seed: int) -> DataFrame:
-    """Each row of docs(doc_id, source, size) with src and start: its place on its source's shuffled line of words.
+def line(docs: DataFrame, parts: int, seed: int) -> DataFrame:
+    """Each row of docs(doc_id, src, size) with start: its place on its source's shuffled line of words.
 
-    Rows are dealt to PARTS parts of their source by a hash, so no task holds a large source; parts are put one after another by their sums.
+    Rows are dealt to parts of their source by a hash, as many as the table's rows ask for, so no task holds a large source; parts are put one after another by their sums.
     """
-    items = [x for pair in ranks.items() for x in pair if pair[0] is not None]
-    src = F.lit(ranks.get(None, -1)).cast("long")
-    if items:
-        named = F.create_map(*[F.lit(x) for x in items])
-        src = F.when(F.col("source").isNull(), src).otherwise(F.element_at(named, F.col("source")).cast("long"))
-    d = docs.withColumn("src", src).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    d = docs.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("part", F.pmod("h", F.lit(parts)))
     sums = d.groupBy("src", "part").agg(F.sum("size").alias("words"))
     offset = F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.coalesce(F.sum("size").over(Window.partitionBy("src", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -107,16 +104,17 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     scratch = Scratch(spark)
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sized")
-    by = {r["source"]: r["words"] for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()}
+    found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
+    by, parts = {r["source"]: r["words"] for r in found}, max(PARTS, sum(r["n"] for r in found) // ROWS)
     names = sorted(by, key=in_order)
-    ranks = {s: i for i, s in enumerate(names)}
     sizes = [by[s] for s in names]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(sizes), most)
     slots = -(-int(sum(goal)) // BLOCK)
     if not slots:
         return sized.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
-    known = spark.createDataFrame([(i, sizes[i], float(goal[i])) for i in range(len(names))], "src long, source_size long, target double")
-    rows = line(sized, ranks, seed).join(F.broadcast(known), "src")
+    known = spark.createDataFrame([(names[i], i, sizes[i], float(goal[i])) for i in range(len(names))], "_name string, src long, source_size long, target double")
+    known = F.broadcast(known) if len(names) <= SENT else known
+    rows = line(sized.join(known, F.col("source").eqNullSafe(F.col("_name"))).drop("_name"), parts, seed)
     rows = scratch.save(rows, "line")  # the row's id on its line: src and start, which differ unless the size is 0
     # Words [start, start + size) come again every source_size words, as far as `most` times the line; blocks cut them.
     turns = rows.where("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))))

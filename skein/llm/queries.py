@@ -1,6 +1,7 @@
 """One query for each operator, over its whole table, with production parameters; and their SQL where SQL can express them."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm import bpe, embed, langid, licenses, lm, minhash, mixing, quality, toxicity, warc
 
@@ -58,8 +59,18 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op1_mixing: all but the words taken."""
+    return op1_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op5_quality: all but the verdict."""
+    return op5_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_minhash, op3_language, op4_toxicity, op5_quality, op6_licenses, op7_lm, op8_warc, op9_bpe, op10_embeddings)}
+    return {f.__name__: f for f in (mixing_targets, quality_measures, op1_mixing, op2_minhash, op3_language, op4_toxicity, op5_quality, op6_licenses, op7_lm, op8_warc, op9_bpe, op10_embeddings)}
 
 
 #: Brute force over all pairs; the operators find these pairs without meeting all.
@@ -77,6 +88,28 @@ both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, t.b FROM r JOIN both_ways t ON t.a = r.b)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
 FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
+""",
+    "mixing_targets": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+r AS (  -- the sources that are not full yet, and what they share
+  SELECT 0 AS step, list({'source': source, 'size': size, 'w': w} ORDER BY source NULLS LAST) AS l, 1.5 * sum(size)::DOUBLE AS rest FROM s
+  UNION ALL SELECT step + 1, list_filter(l, lambda x: x.w * rest / t < 2.0 * x.size), rest - list_sum(list_transform(list_filter(l, lambda x: x.w * rest / t >= 2.0 * x.size), lambda x: 2.0 * x.size))
+  FROM (SELECT *, list_sum(list_transform(l, lambda x: x.w)) AS t FROM r) WHERE len(list_filter(l, lambda x: x.w * rest / t >= 2.0 * x.size)) > 0
+), z AS (SELECT * FROM r ORDER BY step DESC LIMIT 1),
+o AS (SELECT u.x.source AS source, u.x.w * u.rest / u.t AS target FROM (SELECT unnest(l) AS x, rest, list_sum(list_transform(l, lambda x: x.w)) AS t FROM z) u)
+SELECT d.doc_id, d.size, s.size AS source_size, round(coalesce(o.target, 2.0 * s.size), 4) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN o ON o.source IS NOT DISTINCT FROM s.source
+""",
+    "quality_measures": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' '))) AS g FROM w WHERE len(w) >= 9),
+n AS (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT g.r, unnest(range(g.i, g.i + 8)) AS p FROM g JOIN n ON n.r = g.r AND n.g = g.g) GROUP BY r),
+x AS (SELECT d.doc_id, len(w.w) AS n_words, length(translate(d.t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars, length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(d.t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l, coalesce(c.n, 0) AS n_repeat_words FROM d JOIN w ON w.r = d.r LEFT JOIN c ON c.r = d.r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x
 """,
     "op8_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h),

@@ -135,7 +135,16 @@ def test_bpe_is_the_librarys(docs, rows):
     b = bpe.Bpe(path)
     for t in ("<|endoftext|>a <|endoftext|>", "a" * 5000, "it's  \n\n x²½ 日本 \x1c\x85", "<|endo"):
         assert b.encode(t) == tok.encode(t, add_special_tokens=False).ids and b.decode(b.encode(t)) == t
-        assert bpe.long_digests(b, t) == next(bpe.digests(b, [t]))
+        one, other = bpe.long_digests(b, t), next(bpe.digests(b, [t]))
+        assert one[1:] == other[1:] and one[0].tolist() == other[0].tolist() == b.encode(t)
+    rng = np.random.default_rng(6)
+    for letters in ("ab", "abcdefgh0123", "aé日"):  # words of one cut, far over LONG
+        t = "".join(rng.choice(list(letters), 9000))
+        raw = b.byte_id[np.frombuffer(t.encode(), np.uint8)]
+        assert b.merge_long(raw).tolist() == b.merge(raw.copy(), np.array([len(raw)]))[0].tolist()
+        assert b.encode(t) == tok.encode(t, add_special_tokens=False).ids
+    with_ids = bpe.round_trip(docs, path, keep_ids=True).where("doc_id = 5").first()
+    assert with_ids["ids"] == tok.encode(rows[5][1], add_special_tokens=False).ids and bpe.round_trip(docs.where("false"), path).collect() == []
 
 
 def test_warc(spark, tmp_path):
