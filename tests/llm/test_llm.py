@@ -205,17 +205,3 @@ def test_toxicity(spark, docs, rows):
     out = toxicity.toxicity(df, labels).collect()
     assert all(r["predicted"] == int(made[r["doc_id"]][2]) for r in out) and any(r["held_out"] for r in out)
     assert len(toxicity.toxicity(docs, labels.where("false")).collect()) == len(rows)
-    s = toxicity.Scorer({"fool": 2.0})
-    assert s.total("you fool!") > s.total("a fool!") > s.total("he said a fool!") > s.total("not a fool!") > s.total("foolish") == 0
-    assert s.total("i will kill you") == 0 and s.total("you they will kill") > 0
-
-
-def test_threats_before_their_target(spark):
-    texts = ["i will kill you", "kill yourself", "we should hurt them", "someone will kill every one of you", "i will not kill you", "kill the process. you may rest", "the plan is good", "kill time before he comes"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    score = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, none).collect()}
-    assert all(score[k] > score[6] for k in range(4)) and score[4] == score[5] == score[6] == score[7]
-    s = toxicity.scorer_for({"fool": 2.0})
-    assert s.total("i will kill you") == s.total("you they will kill") == toxicity.PLAIN + toxicity.AIMED
-    assert s.total("fool that you are") == s.total("you fool") and s.total("you kill them") == s.total("you kill")
