@@ -8,7 +8,7 @@ from skein.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language that the labels teach."""
+    """Drops documents of no language that the labels teach: null ones, those without a letter, and those of a score below 0.3."""
     return langid.keep_known(docs)
 
 
@@ -28,19 +28,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix."""
-    return bpe.round_trip(docs, tokenizer_path())
+    """The token ids of every document of the mix, their number, and digests of the ids and of the text that they decode to."""
+    return bpe.round_trip(docs, tokenizer_path(), keep_ids=True)
 
 
 STAGES = [("language", language), ("quality", rules), ("near_duplicates", near_duplicates), ("mix", mix), ("tokens", tokens)]
-#: SQL can't express the stages.
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again."""
-    scratch = Scratch(spark)
+    """All stages over documents; what each returns is written to the shared folder and read again. A stage's own tables, and what it read, go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = tuple(Scratch.open)
     for name, stage in STAGES:
+        scratch = Scratch(spark)
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        Scratch.spent(kept=(*others, scratch))
     return docs
