@@ -266,6 +266,7 @@ def grouped(docs: DataFrame, scratch: Scratch, width: int, percent: int, size: i
         F.concat_ws("/", F.hex("hub"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).alias("task"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "digest", "low", "comp", "n",
     )
+    tasks = scratch.save(tasks, "tasks")  # read twice; without texts
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = tasks.join(classes.select("digest", "keys"), "digest")
     used = scratch.save(in_question(known.repartition(parts, "task").sortWithinPartitions("task"), percent, least), "used")
