@@ -59,11 +59,12 @@ class Scratch:
             return
 
     @staticmethod
-    def spent(kept: tuple = ()) -> None:
-        """Drop all that is still there but of `kept`: for a caller who has saved the results that read it."""
-        for scratch in [s for s in Scratch.open if s not in kept]:
+    def spent(which: list | None = None) -> None:
+        """Drop what is still there of these runs, or of all: for a caller who has saved the results that read it."""
+        for scratch in list(Scratch.open if which is None else which):
             scratch.drop()
-            Scratch.open.remove(scratch)
+            if scratch in Scratch.open:
+                Scratch.open.remove(scratch)
 
 
 atexit.register(Scratch.spent)
