@@ -67,3 +67,19 @@ def test_licenses_of_odd_rows(spark):
     got = licenses.scan(spark.createDataFrame(rows, KIND)).collect()
     assert sorted((r.doc_id or 0, r.n_blocks, tuple(r.licenses)) for r in got) == [(0, 1, ("MIT",)), (1, 0, ()), (2, 0, ()), (3, 1, ("MIT",)), (3, 1, ("MIT",))]
     assert licenses.scan(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_identifier_lines_and_headings(spark):
+    texts = [
+        ("# SPDX-License-Identifier: MIT\nimport os\n", ["MIT"]),
+        ("/* SPDX-License-Identifier: LGPL-3.0-or-later */", ["LGPL-3.0"]),
+        ("// SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0"]),
+        ("// SPDX-License-Identifier: CC-BY-NC-SA-4.0\n\n// SPDX-License-Identifier: CC-BY-4.0", ["CC-BY-4.0", "CC-BY-NC-SA-4.0"]),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation", ["GPL-3.0"]),
+        ("Distributed under the MIT license, see the file beside this one.", ["MIT"]),
+        ("# SPDX-License-Identifier: GPL-1.0-only", []),
+        ("An identifier of a license is what SPDX calls a short name.", []),
+        ("Unlike the MIT license, the GNU General Public License is a copyleft license.", []),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame([(k, t, None, None) for k, (t, _) in enumerate(texts)], KIND)).collect()}
+    assert [got[k] for k in range(len(texts))] == [want for _, want in texts]
