@@ -309,6 +309,20 @@ def test_sync_rounds(spark):
         sync.run_sync(spark, {}, adapter, "sideways")
 
 
+def test_vector_scores_of_odd_rows(spark):
+    x = [0.1 * k - 1 for k in range(37)]
+    odd = [(1, x), (2, None), (3, []), (4, x[:-1]), (5, [*x[:-1], None]), (6, [0.0] * 37), (7, [*x[:-1], float("nan")])]
+    df = spark.createDataFrame([*odd, *[(k, x) for k in range(100, 2000)]], "_id long, e array<double>").repartition(3)
+    own = sum(v * v for v in x)
+    for metric, best, of_zeros in (("dot", own, 0.0), ("cosine", 1.0, 0.0), ("euclidean", 1.0, 1 / (1 + own**0.5))):
+        got = {r._id: r.s for r in df.select("_id", vectors.METRICS[metric](F.col("e"), x).alias("s")).collect()}
+        assert [got[k] for k in (2, 3, 4, 5)] == [None] * 4 and got[7] != got[7]
+        assert abs(got[1] - best) < 1e-9 and abs(got[6] - of_zeros) < 1e-9
+        assert len({got[k] for k in range(100, 2000)}) == 1  # equal vectors tie, wherever they stand
+        assert [r._id for r in vectors.nearest(df.where("_id <> 7"), "e", x, 3, metric).collect()] == [1, 100, 101]
+    assert vectors.nearest(df.where("false"), "e", x, 3).collect() == []
+
+
 def test_vector_index(spark, tmp_path):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 32)) * 3
