@@ -1,4 +1,4 @@
-"""Command line over a folder of collections, each a Parquet table: inspect, collections, count, export, import, drop, compact."""
+"""Command line over a folder of collections, each a Parquet table: inspect, collections, count, export, import, drop, page, compact."""
 
 import argparse
 import json
@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from skein.functions.filters import compile_filter
 from skein.operators import updates
-from skein.operators.collection import check_name
+from skein.operators.collection import Collection, check_name
 from skein.sources import files
 
 
@@ -33,7 +33,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
     out = out or sys.stdout
     parser = argparse.ArgumentParser(prog="skein", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, more in {"inspect": [], "collections": [], "count": ["collection"], "export": ["collection", "path"], "import": ["collection", "path"], "drop": ["collection"], "compact": ["collection"]}.items():
+    for name, more in {"inspect": [], "collections": [], "count": ["collection"], "export": ["collection", "path"], "import": ["collection", "path"], "drop": ["collection"], "page": ["collection"], "compact": ["collection"]}.items():
         p = commands.add_parser(name)
         p.add_argument("folder")
         for m in more:
@@ -42,6 +42,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
             p.add_argument("--format", choices=["json", "ndjson", "csv", "parquet"])
         if name == "count":
             p.add_argument("--filter", default="{}")
+        if name == "page":
+            p.add_argument("--page", type=int, default=1)
+            p.add_argument("--per-page", type=int, default=50)
     a = parser.parse_args(args)
     spark = spark or session()
     table = f"{a.folder}/{check_name(a.collection)}" if "collection" in a else None
@@ -55,6 +58,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
     elif a.command == "count":
         df = spark.read.parquet(table)
         print(df.where(compile_filter(json.loads(a.filter), df.schema)).count(), file=out)
+    elif a.command == "page":
+        told = Collection(spark.read.parquet(table), a.collection).page(a.page, a.per_page)
+        documents = [json.loads(x) for x in told["documents"].toJSON().collect()]  # 500 at most
+        print(json.dumps(told | {"documents": documents}), file=out)
     elif a.command == "export":
         files.write(spark.read.parquet(table), a.path, a.format or a.path.rpartition(".")[2])
     elif a.command == "import":

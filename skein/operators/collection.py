@@ -63,6 +63,11 @@ class Collection:
         out = out.select([F.col(f"`{c}`") for c in out.columns if c == self.id_col or c in fields]) if fields else out
         return out if timeout is None else within(out, timeout)
 
+    def page(self, number: int = 1, size: int = 50) -> dict:
+        """A page of all documents along the ids, for browsing: 1 to 500 documents, numbered from 1; out of range is clamped."""
+        number, size, total = max(1, number), min(max(1, size), 500), self.count()
+        return {"documents": self.find(skip=(number - 1) * size, limit=size), "total": total, "page": number, "per_page": size, "pages": max(1, -(-total // size))}
+
     def find_one(self, where=None) -> DataFrame:
         return self.find(where, limit=1)
 
@@ -187,11 +192,42 @@ class Database:
         return sorted(n for n in self.collections if not n.startswith("_"))
 
 
-def migrate(version: int, steps: dict, df: DataFrame) -> tuple[int, DataFrame]:
-    """Apply the steps above `version`, which must be positive, in ascending order."""
-    if any(not isinstance(v, int) or v < 1 for v in steps):
+def due(version: int, steps: dict) -> list[int]:
+    """The versions of steps above `version`, which must be positive, in ascending order."""
+    if any(not isinstance(v, int) or isinstance(v, bool) or v < 1 for v in steps):
         raise FilterError("migration versions must be positive")
-    for v in sorted(steps):
-        if v > version:
-            version, df = v, steps[v](df)
+    return [v for v in sorted(steps) if v > version]
+
+
+def migrate(version: int, steps: dict, df: DataFrame) -> tuple[int, DataFrame]:
+    """Apply the steps above `version` as one plan."""
+    for v in due(version, steps):
+        version, df = v, steps[v](df)
+    return version, df
+
+
+def migrate_saved(df: DataFrame, steps: dict, path: str) -> tuple[int, DataFrame]:
+    """Apply steps {version: function}; the table after each is saved at path/v<version> before the next begins.
+
+    A run that stopped goes on after the last version that was saved whole, and a step that was done isn't done again.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def mark(v: int):
+        place = jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}.done")
+        return place.getFileSystem(conf), place
+
+    def saved(v: int) -> bool:
+        files, place = mark(v)
+        return files.exists(place)
+
+    version = max((v for v in due(0, steps) if saved(v)), default=0)
+    if version:
+        df = spark.read.parquet(f"{path}/v{version}")
+    for v in due(version, steps):
+        steps[v](df).write.mode("overwrite").parquet(f"{path}/v{v}")
+        files, place = mark(v)
+        files.create(place).close()
+        version, df = v, spark.read.parquet(f"{path}/v{v}")
     return version, df

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import crypto, ids, text, vectors
 from skein.operators import audit, changes, crdt, sync, updates, vector_index
-from skein.operators.collection import Collection
+from skein.operators.collection import Collection, migrate_saved
 from skein.operators.schema import Schema
 from skein.sources import files, rest
 from skein.streaming import live
@@ -152,6 +152,19 @@ def _replicate(s, d):
     return held[0].select("n_name", "n_regionkey")
 
 
+def _browsed(s, d):
+    told = Collection(table(s, d, "customer", "c_custkey")).page(3, 40)
+    return told["documents"].select("_id", "c_name", *[F.lit(told[x]).cast("long").alias(x) for x in ("total", "pages")])
+
+
+def _migrated(s, d):
+    steps = {1: lambda df: df.withColumnRenamed("s_name", "name"), 3: lambda df: df.withColumn("name", F.upper("name"))}
+    path, old = _own_folder(s), table(s, d, "supplier", "s_suppkey")
+    migrate_saved(old, {1: steps[1]}, path)
+    version, new = migrate_saved(old, steps, path)  # goes on after version 1
+    return new.select("_id", "name", F.lit(version).alias("version"))
+
+
 def _index_of(s, d):
     path = _own_folder(s)
     vector_index.build(table(s, d, "embeddings", "vec_id"), "embedding", 64, path)
@@ -195,6 +208,8 @@ _SPEC = {
         _aggregate("events", "event_id", [{"$match": _Q_MATCH}, {"$group": {"_id": "$user_id", "total": {"$sum": "$value"}, "n": {"$sum": 1}}}, {"$sort": {"n": -1}}, {"$limit": 10}, {"$project": {"_id": 1, "n": 1}}]),
         "SELECT user_id AS _id, count(*) AS n FROM events WHERE event_type = 'purchase' AND value >= 10 GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
     ),
+    "browse_page": (_browsed, "SELECT c_custkey AS _id, c_name, (SELECT count(*) FROM customer) AS total, (SELECT (count(*) + 39) // 40 FROM customer) AS pages FROM customer ORDER BY c_custkey LIMIT 40 OFFSET 80"),
+    "migrate_saved": (_migrated, "SELECT s_suppkey AS _id, upper(s_name) AS name, 3 AS version FROM supplier"),
     "find_full_scan": (_find("region", "r_regionkey", {}, ["r_name"]), "SELECT r_regionkey AS _id, r_name FROM region"),
     "find_by_id": (_find("orders", "o_orderkey", {"_id": {"$in": [1, 5, 7, 99]}}, ["o_totalprice"]), "SELECT o_orderkey AS _id, o_totalprice FROM orders WHERE o_orderkey IN (1, 5, 7, 99)"),
     "find_eq": (_find("orders", "o_orderkey", {"o_orderstatus": "F"}, ["o_orderstatus"]), "SELECT o_orderkey AS _id, o_orderstatus FROM orders WHERE o_orderstatus = 'F'"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skein import cli
 from skein.functions import crypto, ids, text, vectors
 from skein.functions.filters import FilterError, compile_filter
-from skein.operators import audit, changes, crdt, pipeline, sync, updates, vector_index
+from skein.operators import audit, changes, collection, crdt, pipeline, sync, updates, vector_index
 from skein.operators.collection import Collection, QueryTimeout
 from skein.operators.schema import Schema, SchemaError
 from skein.sources import files, rest
@@ -309,6 +309,39 @@ def test_sync_rounds(spark):
         sync.run_sync(spark, {}, adapter, "sideways")
 
 
+def test_migrations_go_on_where_they_stopped(spark, tmp_path):
+    done, path = [], f"file://{tmp_path}/tables"
+
+    def step(v, fails=False):
+        def work(df):
+            done.append(v)
+            return df.withColumn(f"v{v}", F.raise_error(F.lit("stopped")).cast("int") if fails else F.lit(v))
+
+        return work
+
+    df = spark.createDataFrame([(1,), (2,)], "_id long")
+    with pytest.raises(Exception, match="stopped"):
+        collection.migrate_saved(df, {5: step(5, True), 2: step(2)}, path)
+    version, out = collection.migrate_saved(df, {5: step(5), 2: step(2)}, path)
+    assert version == 5 and done == [2, 5, 5] and sorted(map(tuple, out.collect())) == [(1, 2, 5), (2, 2, 5)]
+    assert collection.migrate_saved(df, {2: step(2), 5: step(5)}, path)[0] == 5 and len(done) == 3
+    assert collection.migrate_saved(df, {}, path)[1].count() == 2
+    for wrong in ({0: step(0)}, {1.5: step(1)}, {True: step(1)}):
+        with pytest.raises(ValueError):
+            collection.migrate_saved(df, wrong, path)
+
+
+def test_pages(spark):
+    c = Collection(spark.range(0, 1203).withColumnRenamed("id", "_id"))
+    told = c.page(3, 500)
+    assert (told["total"], told["page"], told["per_page"], told["pages"]) == (1203, 3, 500, 3)
+    assert [r._id for r in told["documents"].collect()] == list(range(1000, 1203))
+    told = c.page(-4, 9999)
+    assert (told["page"], told["per_page"], told["documents"].count()) == (1, 500, 500)
+    none = Collection(spark.createDataFrame([], "_id long")).page()
+    assert none["pages"] == 1 and none["documents"].count() == 0
+
+
 def test_vector_scores_of_odd_rows(spark):
     x = [0.1 * k - 1 for k in range(37)]
     odd = [(1, x), (2, None), (3, []), (4, x[:-1]), (5, [*x[:-1], None]), (6, [0.0] * 37), (7, [*x[:-1], float("nan")])]
@@ -364,6 +397,8 @@ def test_command_line_and_files(spark, tmp_path):
     run("import", folder, "c", tmp_path / "in.ndjson")
     assert run("collections", folder) == ["c"] and run("count", folder, "c") == ["4"] and run("count", folder, "c", "--filter", '{"a": {"$gt": 2}}') == ["2"]
     assert json.loads(run("inspect", folder)[0])["documents"] == 4
+    told = json.loads(run("page", folder, "c", "--page", "2", "--per-page", "3")[0])
+    assert told["pages"] == 2 and told["total"] == 4 and len(told["documents"]) == 1 and "_id" in told["documents"][0]
     run("export", folder, "c", tmp_path / "out.csv")
     assert sorted(r["a"] for r in files.read(spark, str(tmp_path / "out.csv"), "csv").collect()) == [1, 2, 3, 4]
     run("compact", folder, "c")
