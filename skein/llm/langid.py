@@ -45,28 +45,34 @@ class Net:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return self.pooled(x)[0] @ self.out + self.prior
 
+    def params(self) -> list[np.ndarray]:
+        return [*self.tables, self.bias, self.out, self.prior]
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross-entropy, for params(); a filter gets one only at the place where it is largest."""
+        h, at = self.pooled(x, True)
+        p = softmax(h @ self.out + self.prior)
+        p[np.arange(len(x)), y] -= 1
+        p /= len(x)
+        back = (p @ self.out.T) * (h > 0)
+        found = []
+        for w, (table, place) in enumerate(zip(self.tables, at)):
+            g, part = np.zeros_like(table), back[:, w * FILTERS : (w + 1) * FILTERS]
+            for j in range(len(table)):
+                seen = x[np.arange(len(x))[:, None], place + j]
+                np.add.at(g[j], (seen, np.arange(FILTERS)[None]), part)
+            found.append(g)
+        return [*found, back.sum(0), h.T @ p, p.sum(0)]
+
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 6, batch: int = 64, rate: float = 0.05, seed: int = 6) -> None:
-        """Adagrad on the cross-entropy; gradients reach a filter only at the place where it is largest."""
+        """Adagrad on the cross-entropy."""
         rng = np.random.default_rng(seed)
-        params = [*self.tables, self.bias, self.out, self.prior]
-        sums = [np.full(p.shape, 1e-6, np.float32) for p in params]
+        sums = [np.full(p.shape, 1e-6, np.float32) for p in self.params()]
         for _ in range(rounds):
             order = rng.permutation(len(x))
             for k in range(0, len(x), batch):
                 i = order[k : k + batch]
-                h, at = self.pooled(x[i], True)
-                p = softmax(h @ self.out + self.prior)
-                p[np.arange(len(i)), y[i]] -= 1
-                p /= len(i)
-                back = (p @ self.out.T) * (h > 0)
-                grads = []
-                for w, (table, place) in enumerate(zip(self.tables, at)):
-                    g, part = np.zeros_like(table), back[:, w * FILTERS : (w + 1) * FILTERS]
-                    for j in range(len(table)):
-                        seen = x[i][np.arange(len(i))[:, None], place + j]
-                        np.add.at(g[j], (seen, np.arange(FILTERS)[None]), part)
-                    grads.append(g)
-                for q, s, g in zip(params, sums, [*grads, back.sum(0), h.T @ p, p.sum(0)]):
+                for q, s, g in zip(self.params(), sums, self.gradients(x[i], y[i])):
                     s += g * g
                     q -= rate * g / np.sqrt(s)
 
